@@ -5,6 +5,7 @@ A word is a maximal run of characters other than space, tab, LF, VT, FF and CR.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -113,3 +114,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def released(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that are over and written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

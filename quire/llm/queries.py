@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, chat, packing, rollup
+from quire.llm import bpe, chat, packing, rollup, simhash, substring
 from quire.llm.common import new_folder, removed, written
 
 #: Where the files of public tokenizers lie; public_tokenizers.path(name) says the same.
@@ -73,6 +73,15 @@ def op3_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), pattern()))
 
 
+def op5_simhash_gph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, distance=2)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op8_substring_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(substring.dedup_substrings(table(spark, sf_dir, "documents")))
+
+
 def op9_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "packed")
     shards = packing.write_shards(table(spark, sf_dir, "documents"), folder, tokenizer("word_bpe_49k.json"), end_id=1, shards=int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -83,7 +92,24 @@ QUERIES = {
     "op1_chat_prefix_targets": op1_chat_prefix_targets,
     "op2_token_rollups": op2_token_rollups,
     "op3_bpe_tree": op3_bpe_tree,
+    "op5_simhash_gph": op5_simhash_gph,
+    "op8_substring_anchors": op8_substring_anchors,
     "op9_packed_ids": op9_packed_ids,
 }
 
 ORACLES = {"op1_chat_prefix_targets": OP1_SQL}
+
+OP8_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT doc_id, unnest(range(1, len(ws) - 48)) AS p, ws FROM w WHERE len(ws) >= 50),
+h AS (SELECT doc_id, p, array_to_string(ws[p:p + 49], ' ') AS seq FROM s),
+f AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY md5(seq)) AS low FROM h) WHERE doc_id > low),
+g AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS i FROM f),
+e AS (SELECT doc_id, list(i) AS gone FROM g GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN e ON w.doc_id = e.doc_id"""
+
+ORACLES["op8_substring_anchors"] = OP8_SQL
