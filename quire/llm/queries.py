@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, chat, packing, rollup, simhash, substring
+from quire.llm import bpe, chat, lm, packing, quality, rollup, simhash, substring
 from quire.llm.common import new_folder, removed, written
 
 #: Where the files of public tokenizers lie; public_tokenizers.path(name) says the same.
@@ -73,11 +73,20 @@ def op3_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), pattern()))
 
 
+def op4_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judged(docs, quality.train_on(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_simhash_gph(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, distance=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_held_out(table(spark, sf_dir, "documents"))
+
+
 def op8_substring_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(substring.dedup_substrings(table(spark, sf_dir, "documents")))
 
@@ -92,7 +101,9 @@ QUERIES = {
     "op1_chat_prefix_targets": op1_chat_prefix_targets,
     "op2_token_rollups": op2_token_rollups,
     "op3_bpe_tree": op3_bpe_tree,
+    "op4_quality_trees": op4_quality_trees,
     "op5_simhash_gph": op5_simhash_gph,
+    "op6_kneser_ney": op6_kneser_ney,
     "op8_substring_anchors": op8_substring_anchors,
     "op9_packed_ids": op9_packed_ids,
 }
