@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, chat, lm, packing, quality, rollup, simhash, substring
+from quire.llm import bpe, chat, decontaminate, lm, packing, quality, rollup, simhash, substring
 from quire.llm.common import new_folder, removed, written
 
 #: Where the files of public tokenizers lie; public_tokenizers.path(name) says the same.
@@ -87,6 +87,10 @@ def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_held_out(table(spark, sf_dir, "documents"))
 
 
+def op7_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op8_substring_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(substring.dedup_substrings(table(spark, sf_dir, "documents")))
 
@@ -104,6 +108,7 @@ QUERIES = {
     "op4_quality_trees": op4_quality_trees,
     "op5_simhash_gph": op5_simhash_gph,
     "op6_kneser_ney": op6_kneser_ney,
+    "op7_template_leaks": op7_template_leaks,
     "op8_substring_anchors": op8_substring_anchors,
     "op9_packed_ids": op9_packed_ids,
 }
@@ -124,3 +129,41 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0)
 FROM w LEFT JOIN e ON w.doc_id = e.doc_id"""
 
 ORACLES["op8_substring_anchors"] = OP8_SQL
+
+_QUOTED = decontaminate.PUNCTUATION.replace("'", "''")
+_UNITS = ", ".join(f"'{u}'" for u in decontaminate.UNITS)
+_ENDS = ", ".join(f"'{e}'" for e in decontaminate.SENTENCE_ENDS)
+_TEMPLATE = rf"""
+  SELECT *, list_transform(low, lambda l, i: CASE
+    WHEN ascii(l) BETWEEN 48 AND 57 THEN CASE WHEN regexp_full_match(l, '[0-9.,:/-]+') THEN '#num' ELSE '#qty' END
+    WHEN l = cores[i] THEN CASE WHEN l IN ({_UNITS}) THEN '#unit' ELSE l END
+    WHEN i = 1 OR right(ws[i - 1], 1) IN ({_ENDS}) THEN l ELSE '#name' END) AS canon
+  FROM (SELECT *, list_transform(cores, lambda c: lower(c)) AS low FROM (
+    SELECT *, list_transform(ws, lambda w: trim(w, '{_QUOTED}')) AS cores FROM (
+      SELECT *, string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') AS ws FROM SOURCE)))"""
+
+OP7_SQL = (
+    "WITH d AS (" + _TEMPLATE.replace("SOURCE", "(SELECT DISTINCT doc_id, text FROM documents)") + "),\nb AS (" + _TEMPLATE.replace("SOURCE", "benchmark") + """),
+dw AS (SELECT doc_id, text, pos, array_to_string(canon[pos + 1:pos + 8], ' ') AS h FROM (SELECT doc_id, text, canon, unnest(range(0, greatest(len(canon) - 7, 0))) AS pos FROM d)),
+bw AS (SELECT DISTINCT item_id, pos, array_to_string(canon[pos + 1:pos + 8], ' ') AS h
+       FROM (SELECT item_id, canon, unnest(range(0, greatest(len(canon) - 7, 0))) AS pos FROM b)
+       WHERE len(list_filter(canon[pos + 1:pos + 8], lambda t: t <> '' AND NOT starts_with(t, '#'))) >= 5),
+runs AS (SELECT doc_id, text, item_id, dw.pos - bw.pos AS diag, list_sort(list(DISTINCT bw.pos)) AS places FROM dw JOIN bw USING (h) GROUP BY ALL),
+slots AS (
+  SELECT r.doc_id, r.text, r.item_id, places, len(i.canon) AS n,
+    list_transform(list_filter(list_sort(list_distinct(flatten(list_transform(places, lambda p: range(p, p + 8))))), lambda x: starts_with(i.canon[x + 1], '#')),
+      lambda x: {'kind': i.canon[x + 1], 'item': i.low[x + 1], 'doc': d.low[x + diag + 1]}) AS pairs
+  FROM runs r JOIN d ON d.doc_id IS NOT DISTINCT FROM r.doc_id AND d.text = r.text JOIN (SELECT item_id, canon, low FROM b) i USING (item_id)),
+good AS (
+  SELECT *, len(list_distinct(pairs)) AS n_slots, len(list_filter(pairs, lambda x: x.item <> x.doc)) > 0 AS changed FROM slots
+  WHERE len(list_distinct(list_transform(pairs, lambda x: [x.kind, x.item]))) = len(list_distinct(pairs))
+    AND len(list_distinct(list_transform(list_filter(pairs, lambda x: x.kind = '#name'), lambda x: x.doc))) = len(list_distinct(list_filter(pairs, lambda x: x.kind = '#name')))),
+total AS (
+  SELECT doc_id, text, item_id, len(list_distinct(flatten(list(flatten(list_transform(places, lambda p: range(p, p + 8))))))) AS covered,
+    max(n) AS item_tokens, max(n_slots) AS slots, bool_or(changed) AS changed
+  FROM good GROUP BY doc_id, text, item_id)
+SELECT doc_id, item_id, CAST(covered AS BIGINT) AS covered, CAST(item_tokens AS BIGINT) AS item_tokens, CAST(slots AS BIGINT) AS slots, changed
+FROM total WHERE covered >= 13 OR covered >= 0.6 * item_tokens"""
+)
+
+ORACLES["op7_template_leaks"] = OP7_SQL
