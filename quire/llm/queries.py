@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, chat, decontaminate, lm, packing, quality, rollup, simhash, substring
+from quire.llm import bpe, chat, decontaminate, lines, lm, packing, quality, rollup, simhash, substring
 from quire.llm.common import new_folder, removed, written
 
 #: Where the files of public tokenizers lie; public_tokenizers.path(name) says the same.
@@ -101,6 +101,10 @@ def op9_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.read_shards(spark, folder, shards)
 
 
+def op10_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(lines.dedup_lines(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_chat_prefix_targets": op1_chat_prefix_targets,
     "op2_token_rollups": op2_token_rollups,
@@ -111,6 +115,7 @@ QUERIES = {
     "op7_template_leaks": op7_template_leaks,
     "op8_substring_anchors": op8_substring_anchors,
     "op9_packed_ids": op9_packed_ids,
+    "op10_line_alignment": op10_line_alignment,
 }
 
 ORACLES = {"op1_chat_prefix_targets": OP1_SQL}
