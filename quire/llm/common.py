@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -118,5 +119,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def released(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps that are over and written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the second round takes what the first has let go
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)

@@ -3,8 +3,8 @@
 Every document is cut into non-overlapping reference blocks of half a window.
 A window of `k` words that occurs elsewhere holds a whole block of that other
 document, so probing the block index with every rolling half-window finds it.
-Hits are extended: all windows around a hit are hashed (96 bits of two
-independent hashes), and a window whose words also start in a document with a
+Hits are extended: all windows around a hit are hashed (80 bits of two
+independent hashes, besides those of the bucket), and a window whose words also start in a document with a
 smaller doc_id is removed. Overlapping removed windows make up a maximal exact
 repeat.
 
@@ -39,7 +39,7 @@ WINDOW = 50
 BUCKET_WORDS = 4_000_000
 SLICE = 8 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
-_KEY_BYTES = 5
+_KEY_BYTES, _WINDOW_KEY_BYTES = 5, 6
 _EXCHANGE = "bucket int, key binary, chk binary, doc binary, id binary, per binary, pos binary, wide boolean"
 
 
@@ -109,13 +109,35 @@ def _parsed(table: pa.Table, width: int):
     return cat(keys or [np.empty(0, np.uint64)]), cat(checks), cat(numbers), cat(places), cat(docs), cat(ids)
 
 
-def _places(doc: np.ndarray, number: np.ndarray, pos: np.ndarray) -> pa.Table:
-    """(doc, pos): the positions of each document, entries in any order."""
-    order = np.argsort(number, kind="stable")
-    number, pos = number[order], pos[order].astype("<u4")
-    first = np.flatnonzero(np.diff(number, prepend=-1))
-    ends = np.append(first, len(number))[1:]
-    return pa.table({"doc": pa.array(doc[number[first]], pa.int64()), "pos": pa.array([pos[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary())})
+def _by_part(doc: np.ndarray, number: np.ndarray, pos: np.ndarray, parts: int) -> pa.Table:
+    """Positions of documents, in any order, as a row of arrays for each part of all documents."""
+    part = (mix64(doc.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)[number] if len(doc) else number
+    order = np.lexsort((number, part))
+    part, number, pos = part[order], number[order], pos[order].astype("<u4")
+    cuts = np.searchsorted(part, np.arange(parts + 1))
+    rows = []
+    for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if a < b:
+            first = np.flatnonzero(np.diff(number[a:b], prepend=-1))
+            rows.append((p, doc[number[a:b][first]].astype("<i8").tobytes(), np.diff(np.append(first, b - a)).astype("<u4").tobytes(), pos[a:b].tobytes()))
+    cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
+    return pa.table({"part": pa.array(cols[0], pa.int32()), **{c: pa.array(x, pa.binary()) for c, x in zip(("doc", "per", "pos"), cols[1:], strict=True)}})
+
+
+_PARTS = "part int, doc binary, per binary, pos binary"
+
+
+def _places(table: pa.Table) -> pa.Table:
+    """(doc, pos): all positions of each document of a part."""
+    docs = np.concatenate([np.frombuffer(x, "<i8") for x in table["doc"].to_pylist()])
+    per = np.concatenate([np.frombuffer(x, "<u4") for x in table["per"].to_pylist()])
+    pos = np.concatenate([np.frombuffer(x, "<u4") for x in table["pos"].to_pylist()])
+    doc = np.repeat(docs, per)
+    order = np.argsort(doc, kind="stable")
+    doc, pos = doc[order], pos[order]
+    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    ends = np.append(first, len(doc))[1:]
+    return pa.table({"doc": pa.array(doc[first], pa.int64()), "pos": pa.array([pos[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary())})
 
 
 def _runs(*sorted_keys: np.ndarray) -> np.ndarray:
@@ -160,7 +182,7 @@ def _kept_back(key: np.ndarray, chk: np.ndarray | None, ids: np.ndarray, both_en
 
 
 def anchor_hits(rows: DataFrame, k: int, buckets: int) -> DataFrame:
-    """(doc, pos): where rolling half-windows of rows (doc, id, text) meet a reference block that another document shares."""
+    """Rows of _PARTS: where rolling half-windows of rows (doc, id, text) meet a reference block that another document shares."""
     half = (k + 1) // 2
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,19 +207,19 @@ def anchor_hits(rows: DataFrame, k: int, buckets: int) -> DataFrame:
         through = table["bucket"][0].as_py() >= buckets
         key, _, number, pos, doc, ids = _parsed(table, 0 if through else _KEY_BYTES)
         if through:
-            return _places(doc, number, pos)
+            return _by_part(doc, number, pos, buckets)
         order = np.argsort(key, kind="stable")
         first = _runs(key[order])
         i = ids[number[order]]
         hit = (_over(i, first, np.minimum) != _over(i, first, np.maximum)) & _over(pos[order] % half == 0, first, np.logical_or)
         hit = order[hit]
-        return _places(doc, number[hit], pos[hit])
+        return _by_part(doc, number[hit], pos[hit], buckets)
 
-    return rows.mapInArrow(probes, _EXCHANGE).groupBy("bucket").applyInArrow(meet, "doc bigint, pos binary")
+    return rows.mapInArrow(probes, _EXCHANGE).groupBy("bucket").applyInArrow(meet, _PARTS)
 
 
 def repeated_windows(hits: DataFrame, k: int, buckets: int) -> DataFrame:
-    """(doc, pos): windows around hits, rows (doc, id, text, hits), whose words also start in a document with a smaller id."""
+    """Rows of _PARTS: windows around hits, rows (doc, id, text, hits), whose words also start in a document with a smaller id."""
     half = (k + 1) // 2
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,11 +227,10 @@ def repeated_windows(hits: DataFrame, k: int, buckets: int) -> DataFrame:
             words = words_of(b.column("text"))
             begin = np.cumsum(words.count) - words.count
             near = np.zeros(len(words.code) + 1, np.int64)
-            for r, parts in enumerate(b.column("hits").to_pylist()):
-                for x in parts:
-                    p = np.frombuffer(x, "<u4").astype(np.int64)
-                    np.add.at(near, begin[r] + np.maximum(0, p - (k - half)), 1)
-                    np.add.at(near, begin[r] + p + 1, -1)
+            for r, x in enumerate(b.column("hits").to_pylist()):
+                p = np.frombuffer(x, "<u4").astype(np.int64)
+                np.add.at(near, begin[r] + np.maximum(0, p - (k - half)), 1)
+                np.add.at(near, begin[r] + p + 1, -1)
             at = _starts(words, k)
             at = at[np.cumsum(near)[at] > 0]
             if not len(at):
@@ -220,22 +241,22 @@ def repeated_windows(hits: DataFrame, k: int, buckets: int) -> DataFrame:
             pos = at - begin[row]
             doc, ids = b.column("doc").to_numpy(), b.column("id").to_numpy()
             sent, shared = _kept_back(key, chk, ids[row], False)
-            yield from _packed(_bucket(key, buckets)[sent], key[sent], 8, chk[sent], row[sent], pos[sent], doc, ids)
+            yield from _packed(_bucket(key, buckets)[sent], key[sent], _WINDOW_KEY_BYTES, chk[sent], row[sent], pos[sent], doc, ids)
             if shared.any():
                 yield from _packed(buckets + (mix64(doc.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)[row[shared]], key[shared], 0, None, row[shared], pos[shared], doc, ids)
 
     def judge(table: pa.Table) -> pa.Table:
         through = table["bucket"][0].as_py() >= buckets
-        key, chk, number, pos, doc, ids = _parsed(table, 0 if through else 8)
+        key, chk, number, pos, doc, ids = _parsed(table, 0 if through else _WINDOW_KEY_BYTES)
         if not through:
             order = np.lexsort((chk, key))
             first = _runs(key[order], chk[order])
             i = ids[number[order]]
             later = order[i != _over(i, first, np.minimum)]
             number, pos = number[later], pos[later]
-        return _places(doc, number, pos)
+        return _by_part(doc, number, pos, buckets)
 
-    return hits.mapInArrow(extend, _EXCHANGE).groupBy("bucket").applyInArrow(judge, "doc bigint, pos binary")
+    return hits.mapInArrow(extend, _EXCHANGE).groupBy("bucket").applyInArrow(judge, _PARTS)
 
 
 def cut(marked: DataFrame, k: int) -> DataFrame:
@@ -245,12 +266,12 @@ def cut(marked: DataFrame, k: int) -> DataFrame:
         for b in byte_slices(batches):
             texts, cuts = filled(b.column("text")).cast(pa.binary()).to_pylist(), b.column("cuts").to_pylist()
             total, gone, kept = [], [], []
-            for text, parts in zip(texts, cuts, strict=True):
+            for text, places in zip(texts, cuts, strict=True):
                 words = text.split()
                 total.append(len(words))
-                if parts:
+                if places:
                     near = np.zeros(len(words) + 1, np.int64)
-                    p = np.concatenate([np.frombuffer(x, "<u4") for x in parts]).astype(np.int64)
+                    p = np.frombuffer(places, "<u4").astype(np.int64)
                     np.add.at(near, p, 1)
                     np.add.at(near, p + k, -1)
                     left = np.flatnonzero(np.cumsum(near)[:-1] == 0)
@@ -270,10 +291,10 @@ def dedup_substrings(docs: DataFrame, k: int = WINDOW) -> DataFrame:
     whole = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc", F.col("doc_id").alias("id"), "text")
     size = whole.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), size // 6 // BUCKET_WORDS)
-    gathered = lambda places, name, as_: written(places.groupBy("doc").agg(F.collect_list("pos").alias(as_)), folder, name)
-    hits = gathered(anchor_hits(whole, k, buckets), "hits", "hits")
+    gathered = lambda parts, name: written(parts.groupBy("part").applyInArrow(_places, "doc bigint, pos binary").withColumnRenamed("pos", name), folder, name)
+    hits = gathered(anchor_hits(whole, k, buckets), "hits")
     released(spark)
-    cuts = gathered(repeated_windows(whole.join(hits, "doc").select("doc", "id", "text", "hits"), k, buckets), "cuts", "cuts")
+    cuts = gathered(repeated_windows(whole.join(hits, "doc").select("doc", "id", "text", "hits"), k, buckets), "cuts")
     removed(spark, f"{folder}/hits")
     released(spark)
     return cut(rows.join(cuts, "doc", "left"), k)
