@@ -179,6 +179,29 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return marked.mapInArrow(run, "doc_id bigint, key bigint, n_lines bigint, n_removed bigint, kept string")
 
 
+def without(marked: DataFrame) -> DataFrame:
+    """Rows with text and gone (packed numbers of lines, or null): the lines cut out of text, and n_chars, if there is one,
+    counted again for changed texts. Rows go that had a word and have none left."""
+    names = [c for c in marked.columns if c != "gone"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in byte_slices(batches, "q_text"):
+            kept, keep = [], []
+            for text, where in zip(b.column("q_text").cast(pa.binary()).to_pylist(), b.column("q_gone").to_pylist(), strict=True):
+                if where:
+                    out = set(np.frombuffer(where, "<u4").tolist())
+                    text = b"\n".join(x for i, x in enumerate(text.split(b"\n")) if i not in out)  # noqa: PLW2901
+                kept.append(text)
+                keep.append(not where or bool(text.strip(b" \t\n\r\x0b\x0c")))
+            out = pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()).cast(pa.string(), safe=False), *b.columns[1:]], names=b.schema.names)
+            yield out.filter(pa.array(keep, pa.bool_()))
+
+    rows = marked.select(F.col("text").alias("q_text"), F.col("gone").alias("q_gone"), F.struct(*names).alias("q_row"))
+    cut = rows.mapInArrow(run, rows.schema)
+    value = lambda c: F.when(F.col("q_gone").isNotNull(), F.length("q_text")).otherwise(F.col("q_row.n_chars")).cast(marked.schema[c].dataType) if c == "n_chars" else F.col(f"q_row.`{c}`")
+    return cut.select(*((F.col("q_text") if c == "text" else value(c)).alias(c) for c in names))
+
+
 def digest(kept: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_sha256)."""
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
