@@ -18,6 +18,8 @@ whole. An empty table gives no rows. Other columns are not read.
 from __future__ import annotations
 
 import io
+import json
+import re
 import struct
 import uuid
 import zlib
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import byte_slices, filesystem, ragged, words_of
+from quire.llm.common import SLICE_BYTES, byte_slices, filesystem, ragged, words_of
 
 MAGIC = b"QTOK0001"
 BLOCK_IDS = 4096
@@ -129,48 +131,83 @@ class Reader:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]))
 
 
+#: Words that surely are one run of letters, then at most one run of marks, after any normaliser.
+_SIMPLE = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+([.,;:!?]?)")
+#: Simple words that are encoded as one text.
+_JOINED = 512
+
+
 class WordEncoder:
-    """Ids of texts by a vocabulary that drops white space and reads no further than it.
+    """Ids of texts by a vocabulary with word ends that drops white space.
 
     No normaliser or pre-tokeniser of such a vocabulary looks across ASCII white
-    space, so a text's ids are those of its words one after another; each distinct
-    word is encoded once and kept, up to `most` words.
+    space, so a text's ids are those of its words one after another. Each distinct
+    word of a slice is looked up once. Unknown words made of letters and a mark are
+    encoded many at a time and told apart by their word ends; others one by one.
+    Words seen lately are kept in two generations of up to `most` words each.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 450_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.vocab_size, self.most = self.library.get_vocab_size(), most
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.start, self.length = np.empty(0, np.int64), np.empty(0, np.int64)
-        self.pool = np.empty(0, np.uint32)
+        suffix = json.loads(self.library.to_str())["model"]["end_of_word_suffix"]
+        self.ends = np.zeros(self.vocab_size + 1, bool)
+        for token, i in self.library.get_vocab().items():
+            self.ends[i] = token.endswith(suffix)
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _learn(self, words: list[bytes]) -> None:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        simple, parts, other = [], [], []
+        for w, text in zip(words, texts, strict=True):
+            m = _SIMPLE.fullmatch(text)
+            if m:
+                simple.append((w, text))
+                parts.append(2 if m[1] else 1)
+            else:
+                other.append((w, text))
+        for (w, _), e in zip(other, self.library.encode_batch_fast([x for _, x in other], add_special_tokens=False), strict=True):
+            self.young[w] = np.array(e.ids, "<u4").tobytes()
+        runs = [simple[i : i + _JOINED] for i in range(0, len(simple), _JOINED)]
+        for k, (run, e) in enumerate(zip(runs, self.library.encode_batch_fast([" ".join(x for _, x in r) for r in runs], add_special_tokens=False), strict=True)):
+            ids = np.array(e.ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            last = np.cumsum(parts[k * _JOINED : k * _JOINED + len(run)]) - 1
+            if len(stops) != last[-1] + 1:
+                raise ValueError("the vocabulary reads these words otherwise")
+            raw, at = ids.tobytes(), 0
+            for (w, _), stop in zip(run, (4 * stops[last]).tolist(), strict=True):
+                self.young[w] = raw[at:stop]
+                at = stop
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, ids per text)."""
-        if len(self.known) > self.most:
-            self._clear()
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
         words = words_of(texts)
-        at = [self.known.get(w, -1) for w in words.vocabulary]
-        new = [w for w, k in zip(words.vocabulary, at, strict=True) if k < 0]
+        found = list(map(self.young.get, words.vocabulary))
+        new = []
+        for i, v in enumerate(found):
+            if v is None:
+                w = words.vocabulary[i]
+                if w in self.old:
+                    found[i] = self.young[w] = self.old[w]
+                else:
+                    new.append(i)
         if new:
-            got = [e.ids for e in self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
-            length = np.array([len(x) for x in got], np.int64)
-            self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(length) - length])
-            self.length = np.concatenate([self.length, length])
-            self.pool = np.concatenate([self.pool, np.array([i for x in got for i in x], np.uint32)])
-            for w in new:
-                self.known[w] = len(self.known)
-            at = [self.known[w] for w in words.vocabulary]
-        entry = np.array(at, np.int64)[words.code] if len(at) else np.empty(0, np.int64)
-        length = self.length[entry]
+            self._learn([words.vocabulary[i] for i in new])
+            for i in new:
+                found[i] = self.young[words.vocabulary[i]]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        pool = np.frombuffer(b"".join(found), "<u4")
+        length = size[words.code]
         per = np.bincount(words.row, weights=length, minlength=len(texts)).astype(np.int64)
-        return self.pool[ragged(self.start[entry], length)], per
+        return pool[ragged((np.cumsum(size) - size)[words.code], length)], per
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -191,7 +228,7 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int, shards: i
         enc = _encoder(path)
         fs, where = filesystem(folder)
         name, out, n_docs = f"{uuid.uuid4().hex}.qtok", None, 0
-        for b in byte_slices(batches):
+        for b in byte_slices(batches, limit=2 * SLICE_BYTES):
             if out is None:
                 fs.create_dir(where, recursive=True)
                 out = fs.open_output_stream(f"{where}/{name}")
