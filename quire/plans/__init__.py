@@ -1,0 +1,14 @@
+"""Registered queries over the library's operators, and the same in SQL."""
+
+from quire.plans import scalars
+from quire.plans.registry import ORACLES, QUERIES
+
+__all__ = ["oracles", "queries", "scalars"]
+
+
+def queries():
+    return dict(QUERIES)
+
+
+def oracles():
+    return dict(ORACLES)
