@@ -1,9 +1,9 @@
 """Registered queries over the library's operators, and the same in SQL."""
 
-from quire.plans import scalars
+from quire.plans import relational, scalars
 from quire.plans.registry import ORACLES, QUERIES
 
-__all__ = ["oracles", "queries", "scalars"]
+__all__ = ["oracles", "queries", "relational", "scalars"]
 
 
 def queries():
