@@ -14,8 +14,8 @@ value of the document throughout, and different names stay different. A document
 leaks an item if the diagonals that count cover 13 of its tokens, or 6 in 10.
 
 The benchmark's windows are broadcast if their number keeps them under BROADCAST
-bytes, else both sides are shuffled. The slots are checked on matching documents
-only.
+bytes, else both sides are shuffled. Up to ANCHORS windows, templates are made around
+words of the benchmark only (_segments), with the same result.
 
 Defined results. A null or empty text leaks nothing. An item of fewer than 8 tokens
 has no window and is never found. Repeated items are judged by their item_id, as
@@ -29,10 +29,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import new_folder, written
+
 K = 8
 LITERALS = 5
 RUN, SHARE = 13, 0.6
 BROADCAST = 32 << 20
+#: Windows of the benchmark up to which its anchors are part of the plan.
+ANCHORS = 20_000
 #: Punctuation that is cut off words, ends of sentences, unit words.
 PUNCTUATION = ".,;:!?…\"'`()[]{}<>«»“”„‘’‚*_#$%&|/\\~^=+-–—"
 SENTENCE_ENDS = (".", "!", "?", ":")
@@ -50,10 +54,9 @@ def words(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), _SPACE)
 
 
-def with_template(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with q_words, q_low and q_canon: the words, their tokens, and the tokens with placeholders."""
-    out = df.withColumn("q_words", words(F.col(text)))
-    out = out.withColumn("q_cores", F.transform("q_words", lambda w: F.trim(w, F.lit(PUNCTUATION))))
+def with_template(df: DataFrame) -> DataFrame:
+    """df, which has q_words, with q_low and q_canon: the tokens, and the tokens with placeholders."""
+    out = df.withColumn("q_cores", F.transform("q_words", lambda w: F.trim(w, F.lit(PUNCTUATION))))
     out = out.withColumn("q_low", F.transform("q_cores", lambda c: F.lower(c)))
 
     def canon(low: Column, i: Column) -> Column:
@@ -90,33 +93,75 @@ def covered(places: Column) -> Column:
     )
 
 
+def _letters(text: Column) -> Column:
+    """Lower-cased letters and digits, word by word: equal for tokens that are equal. A word without any becomes 0, so
+    words keep their places."""
+    marks = r"[^\p{L}\p{N}\x20\x09-\x0D]+"
+    alone = F.regexp_replace(text, r"(^|[\x20\x09-\x0D])" + marks + r"(?![^\x20\x09-\x0D])", "$10")
+    return F.lower(F.regexp_replace(alone, marks, ""))
+
+
+def _segments(rows: DataFrame, anchors: list[int] | None) -> DataFrame:
+    """(q_key, doc_id, q_from, q_words): runs of words of the rows (q_key, doc_id, text) that start at place q_from.
+
+    A window that counts has two neighbouring tokens that are no placeholders, and a document's window of the same
+    template has the same two; the pair with the most letters stands for a window of the benchmark, and `anchors` are
+    the hashes of these pairs. Only words around a document's pairs with such a hash can match: up to 6 before, 7
+    behind, and one more that tells whether a sentence starts. Without anchors the run is the whole text.
+    """
+    split = rows.select("q_key", "doc_id", words(F.col("text")).alias("w"), *([words(_letters(F.coalesce("text", F.lit("")))).alias("f")] if anchors is not None else []))
+    if anchors is None:
+        return split.select("q_key", "doc_id", F.lit(0).alias("q_from"), F.col("w").alias("q_words"))
+    bound = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))  # noqa: E731  evaluates value once
+
+    def places(f: Column) -> Column:
+        pair = F.zip_with(f, F.slice(f, F.lit(2), F.size(f)), lambda a, b: F.xxhash64(a, b))
+        return F.filter(F.transform(pair, lambda h, i: F.when(h.isin(anchors), i)), lambda i: i.isNotNull() & (i < F.size(f) - 1))
+
+    near = split.select("q_key", "doc_id", "w", bound(F.col("f"), places).alias("at"))
+    begin = lambda i: F.greatest(F.lit(0), i - 7)
+    runs = F.transform("at", lambda i: F.struct(begin(i).alias("q_from"), F.slice("w", begin(i) + 1, i + 8 - begin(i)).alias("q_words")))
+    # explode() would filter by the size of the runs first, and make them twice
+    return near.select("q_key", "doc_id", F.explode_outer(runs).alias("r")).where("r IS NOT NULL").select("q_key", "doc_id", "r.q_from", "r.q_words")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(q_key, doc_id, item_id, covered, item_tokens, slots, changed): documents (doc_id, text) that hold items (item_id, text)."""
-    items = with_template(benchmark.select("item_id", "text"))
+    folder = new_folder(docs.sparkSession, "leaks")
+    items = with_template(benchmark.select("item_id", words(F.col("text")).alias("q_words")))
     literal = lambda t: (t != "") & ~F.startswith(t, F.lit("#"))
-    marked = items.select("item_id", "q_canon", "q_low", F.size("q_canon").alias("q_n"))
-    index = windows(marked.withColumn("q_flags", F.transform("q_canon", lambda t: literal(t).cast("int"))), ["item_id", "q_flags", "q_canon", "q_low", "q_n"])
+    marked = items.select("item_id", "q_canon", "q_low", F.transform("q_canon", lambda t: literal(t).cast("int")).alias("q_flags"))
+    index = windows(marked, ["item_id", "q_flags", "q_low"])
     index = index.where(F.aggregate(F.slice("q_flags", F.col("pos") + 1, F.lit(K)), F.lit(0), lambda s, x: s + x) >= LITERALS)
+    index = written(index, folder, "index")
     slim = index.select("item_id", F.col("pos").alias("ipos"), "hash").distinct()
-    rows = docs.select(F.col("doc_id"), "text").withColumn("q_key", F.xxhash64("doc_id", "text"))
-    found = windows(with_template(rows), ["q_key", "doc_id"])
     side = slim.groupBy("hash").agg(F.collect_list(F.struct("item_id", "ipos")).alias("at"))
     n = slim.count()
     if n * 64 <= BROADCAST:
         side = F.broadcast(side)
-    hits = found.join(side, "hash").select("q_key", "doc_id", "pos", F.explode("at").alias("a")).select("q_key", "doc_id", "a.item_id", "a.ipos", (F.col("pos") - F.col("a.ipos")).alias("diag"))
-    runs = hits.groupBy("q_key", "doc_id", "item_id", "diag").agg(F.array_sort(F.collect_set("ipos")).alias("places"))
-
-    # what fills the slots, on matching documents only; a repeated item_id is read by its smallest template
+    anchors = None
+    if n <= ANCHORS:
+        at = F.filter(F.sequence(F.col("pos"), F.col("pos") + (K - 2)), lambda i: (F.get("q_flags", i) + F.get("q_flags", i + 1)) == 2)
+        low = lambda i: F.get("q_low", i)
+        best = F.array_max(F.transform(at, lambda i: F.struct((F.length(low(i)) + F.length(low(i + 1))).alias("n"), low(i).alias("a"), low(i + 1).alias("b"))))
+        anchors = sorted(r.h for r in index.select(best.alias("p")).select(F.xxhash64(_letters(F.col("p.a")), _letters(F.col("p.b"))).alias("h")).distinct().collect())  # up to ANCHORS numbers
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("q_key"))
+    if anchors == []:
+        rows = rows.where("false")
+    found = windows(with_template(_segments(rows, anchors or None)), ["q_key", "doc_id", "q_from", "q_low"])
+    # the word before a run is no part of a window, unless it starts the text
+    found = found.where((F.col("pos") > 0) | (F.col("q_from") == 0)).select("q_key", "doc_id", (F.col("q_from") + F.col("pos")).alias("pos"), "hash", F.slice("q_low", F.col("pos") + 1, F.lit(K)).alias("said"))
+    hits = found.join(side, "hash").select("q_key", "doc_id", "pos", "said", F.explode("at").alias("a")).select("q_key", "doc_id", "a.item_id", "a.ipos", (F.col("pos") - F.col("a.ipos")).alias("diag"), "said")
+    runs = hits.groupBy("q_key", "doc_id", "item_id", "diag").agg(F.array_sort(F.collect_set(F.struct("ipos", "said"))).alias("places"))
+
+    # what fills the slots; a repeated item_id is read by its smallest template
     template = items.groupBy("item_id").agg(F.min(F.struct("q_canon", "q_low")).alias("t")).select("item_id", F.col("t.q_canon").alias("i_canon"), F.col("t.q_low").alias("i_low"))
     if n * 64 <= BROADCAST:
         template = F.broadcast(template)
-    texts = with_template(rows.dropDuplicates(["q_key"]).select("q_key", "text").join(runs.select("q_key").distinct(), "q_key")).select("q_key", F.col("q_low").alias("d_low"))
-    filled = runs.join(texts, "q_key").join(template, "item_id")
-    inside = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + (K - 1)))))
-    slot = F.filter(inside, lambda i: F.startswith(F.get("i_canon", i), F.lit("#")))
-    pairs = F.transform(slot, lambda i: F.struct(F.get("i_canon", i).alias("kind"), F.get("i_low", i).alias("item"), F.get("d_low", i + F.col("diag")).alias("doc")))
-    filled = filled.select("q_key", "doc_id", "item_id", "places", F.size("i_canon").alias("item_tokens"), F.array_distinct(pairs).alias("pairs"))
+    filled = runs.join(template, "item_id")
+    slot = lambda p, k: F.struct(F.get("i_canon", p["ipos"] + k).alias("kind"), F.get("i_low", p["ipos"] + k).alias("item"), F.get(p["said"], k).alias("doc"))
+    pairs = F.flatten(F.transform("places", lambda p: F.transform(F.sequence(F.lit(0), F.lit(K - 1)), lambda k: slot(p, k))))
+    filled = filled.select("q_key", "doc_id", "item_id", F.transform("places", lambda p: p["ipos"]).alias("places"), F.size("i_canon").alias("item_tokens"), F.array_distinct(F.filter(pairs, lambda x: F.startswith(x["kind"], F.lit("#")))).alias("pairs"))
     named = F.filter("pairs", lambda x: x["kind"] == "#name")
     function = F.size(F.array_distinct(F.transform("pairs", lambda x: F.struct(x["kind"], x["item"])))) == F.size("pairs")
     distinct = F.size(F.array_distinct(F.transform(named, lambda x: x["doc"]))) == F.size(named)
