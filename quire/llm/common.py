@@ -5,6 +5,8 @@ A word is a maximal run of characters other than space, tab, LF, VT, FF and CR.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import time
@@ -55,6 +57,13 @@ def filesystem(folder: str):
     return fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives long, and allocators keep what they once had."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def byte_slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut into runs of rows with at most `limit` bytes of text; a longer text is alone."""
     for batch in batches:
@@ -65,6 +74,7 @@ def byte_slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: in
             end = max(at + 1, int(np.searchsorted(sizes, before + limit, side="right")))
             yield batch.slice(at, end - at)
             at = end
+            give_back()
 
 
 class Words(NamedTuple):

@@ -42,9 +42,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import byte_slices, filesystem, mix64, new_folder, released, words_of
+from quire.llm.common import byte_slices, filesystem, give_back, mix64, new_folder, released, words_of
 
-SLICE = 8 << 20
+#: Buckets for each shuffle partition; one is held in memory at a time.
+SPREAD = 2
 #: Numbers of words in a range of the last step.
 RANGE = 1 << 18
 _END = xxhash.xxh64_intdigest(b"\n", 0)  # no word has a line feed
@@ -87,9 +88,11 @@ def _met(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     keys, counts = [], []
     for ids, n, big in zip(*(table[c].to_pylist() for c in ("ids", "n", "big")), strict=True):
         keys.append(np.frombuffer(ids, "<u8"))
-        c = np.frombuffer(n, np.uint8).astype(np.int64)
-        c[c == 255] = np.frombuffer(big, "<i8")
+        c = np.frombuffer(n, np.uint8).astype(np.int64 if big else np.int32)
+        if big:
+            c[c == 255] = np.frombuffer(big, "<i8")
         counts.append(c)
+    give_back()
     return _summed(np.concatenate(keys), np.concatenate(counts))
 
 
@@ -239,7 +242,7 @@ def train(docs: DataFrame, buckets: int) -> Model:
     texts = docs.select("text")
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in byte_slices(batches, limit=SLICE):
+        for b in byte_slices(batches):
             words = words_of(b.column("text"), lower=True)
             key = np.append(_hashes(words.vocabulary), np.uint64(_END))
             yield from _sent(*_summed(key, np.append(np.bincount(words.code, minlength=len(words.vocabulary)), b.num_rows)), buckets)
@@ -257,7 +260,7 @@ def train(docs: DataFrame, buckets: int) -> Model:
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _Open(part)
         end = int(model.numbers(np.array([_END], np.uint64))[0])
-        for b in byte_slices(batches, limit=SLICE):
+        for b in byte_slices(batches):
             w = words_of(b.column("text"), lower=True)
             _, before, current = _sequence(w, model.numbers(_hashes(w.vocabulary)), end)
             key, count = np.unique(mix64((before.astype(np.uint64) << np.uint64(32)) | current.astype(np.uint64)), return_counts=True)
@@ -268,28 +271,28 @@ def train(docs: DataFrame, buckets: int) -> Model:
         both = unmix64(key)
         before, current = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
         rows = []
-        order = np.argsort(before, kind="stable")
-        v, c = before[order], n[order]
-        for ids, values in ((current, [np.ones(len(n), np.int64), *[np.zeros(len(n), np.int64)] * 4]), (v, [np.zeros(len(n), np.int64), c, c == 1, c == 2, c > 2])):
+        # what each word follows, and as a context its total and its followers seen once, twice, oftener; the start
+        # token's row is that of number 0, which is no context else
+        one = np.ones(len(n), np.int64)
+        for kind, ids, values in ((0, current, [one]), (1, np.where(before == START, 0, before), [n, n == 1, n == 2, n > 2])):
             o = np.argsort(ids, kind="stable")
-            ids = np.where(ids == START, 0, ids)[o]  # the start token's row is that of number 0, which is no context else
-            o2 = np.argsort(ids, kind="stable")
-            ids, o = ids[o2], o[o2]
-            first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            kinds = ids[o]
+            first = np.flatnonzero(np.concatenate([[True], kinds[1:] != kinds[:-1]]))
             sums = np.column_stack([np.add.reduceat(x[o].astype(np.int64), first) for x in values])
-            kinds = ids[first]
+            kinds = kinds[first]
+            width = "<u4" if sums.max() < 1 << 32 else "<u8"
             cut = np.flatnonzero(np.diff(kinds // RANGE, prepend=-1))
             for i, j in zip(cut, np.append(cut, len(kinds))[1:], strict=True):
-                rows.append((int(kinds[i] // RANGE), kinds[i:j].astype("<u4").tobytes(), sums[i:j].astype("<i8").tobytes()))
+                rows.append((int(kinds[i] // RANGE), kind, kinds[i:j].astype("<u4").tobytes(), sums[i:j].astype(width).tobytes()))
         most = [int((n == k).sum()) for k in (1, 2, 3, 4)]
         name = _put(folder, [key.astype("<u8"), np.minimum(n, 0xFFFFFFFF).astype("<u4")])
         b = table["bucket"][0].as_py()
         return pa.table({
-            "part": pa.array([-1, *(r[0] for r in rows)], pa.int32()), "ids": pa.array([b"", *(r[1] for r in rows)], pa.binary()), "sums": pa.array([b"", *(r[2] for r in rows)], pa.binary()),
+            "part": pa.array([-1, *(r[0] for r in rows)], pa.int32()), "kind": pa.array([0, *(r[1] for r in rows)], pa.int32()), "ids": pa.array([b"", *(r[2] for r in rows)], pa.binary()), "sums": pa.array([b"", *(r[3] for r in rows)], pa.binary()),
             "bucket": pa.array([b] * (len(rows) + 1), pa.int32()), "file": [name] * (len(rows) + 1), "n": [len(key)] * (len(rows) + 1), "most": pa.array([most] * (len(rows) + 1), pa.list_(pa.int64())),
         })
 
-    parts = texts.mapInArrow(pairs, _BLOB).groupBy("bucket").applyInArrow(count, "part int, ids binary, sums binary, bucket int, file string, n bigint, most array<bigint>")
+    parts = texts.mapInArrow(pairs, _BLOB).groupBy("bucket").applyInArrow(count, "part int, kind int, ids binary, sums binary, bucket int, file string, n bigint, most array<bigint>")
     parts.write.parquet(f"{folder}-parts")
     parts = spark.read.schema(parts.schema).parquet(f"{folder}-parts")
     released(spark)
@@ -298,13 +301,16 @@ def train(docs: DataFrame, buckets: int) -> Model:
     def gather(table: pa.Table) -> pa.Table:
         b = table["part"][0].as_py()
         dense = np.zeros((min(RANGE, vocabulary + 1 - b * RANGE), 5), np.int64)
-        for ids, sums in zip(table["ids"].to_pylist(), table["sums"].to_pylist(), strict=True):
+        for kind, ids, sums in zip(*(table[c].to_pylist() for c in ("kind", "ids", "sums")), strict=True):
             at = np.frombuffer(ids, "<u4").astype(np.int64) - b * RANGE
-            dense[at] += np.frombuffer(sums, "<i8").reshape(-1, 5)
+            columns = slice(1, 5) if kind else slice(0, 1)
+            wide = len(sums) // len(at) // (4 if kind else 1) == 8
+            dense[at, columns] += np.frombuffer(sums, "<u8" if wide else "<u4").reshape(len(at), -1).astype(np.int64)
+        give_back()
         most = [int((dense[:, 0] == k).sum()) for k in (1, 2, 3, 4)] + [int((dense[:, 0] > 2).sum())]
         return pa.table({"part": [b], "file": [_put(folder, [dense.astype("<i8")])], "n": [len(dense)], "most": pa.array([most], pa.list_(pa.int64()))})
 
-    tails = parts.where("part >= 0").select("part", "ids", "sums").groupBy("part").applyInArrow(gather, "part bigint, file string, n bigint, most array<bigint>").collect()  # a row a range
+    tails = parts.where("part >= 0").select("part", "kind", "ids", "sums").groupBy("part").applyInArrow(gather, "part bigint, file string, n bigint, most array<bigint>").collect()  # a row a range
     released(spark)
     total = lambda rows, k: sum(r.most[k] for r in rows)
     d1 = discounts([total(tails, k) for k in range(4)])
@@ -356,7 +362,7 @@ def held_out(doc_id: Column) -> Column:
 
 def score_held_out(docs: DataFrame) -> DataFrame:
     """Scores of all documents by a model of those that are not held out."""
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = SPREAD * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     model = train(docs.where(~held_out(F.col("doc_id"))), buckets)
     got = score(docs, model)
     return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
