@@ -209,19 +209,19 @@ def m09(spark, d):
 
 
 @query("m10_layout_cascade", """
-WITH a AS (SELECT * FROM fx_blocks WHERE page % 3 <> 0), good AS (SELECT page FROM a GROUP BY page HAVING avg(score) >= .05 AND count(*) >= 2)
+WITH a AS (SELECT * FROM fx_blocks WHERE page % 3 <> 0), good AS (SELECT page FROM a GROUP BY page HAVING round(avg(score), 6) >= .05 AND count(*) >= 2)
 SELECT page, id, 0 AS layer FROM a WHERE page IN (SELECT page FROM good) UNION ALL SELECT page, id, 1 AS layer FROM fx_blocks WHERE page NOT IN (SELECT page FROM good) AND ord % 2 = 0""")
 def m10(spark, d):
     b = fx(spark, d, "blocks").select("page", "ord", "id", "score")
     pages = _t(spark, d, "orders").select(F.col("o_orderkey").alias("page"))
     pages = pages.unionByName(b.select("page")).distinct()
-    return decode.layout_cascade(pages, [b.where("page % 3 <> 0"), b.where("ord % 2 = 0")], ["page"], (F.col("quality") >= 0.05) & (F.col("n_blocks") >= 2)).select("page", "id", "layer")
+    return decode.layout_cascade(pages, [b.where("page % 3 <> 0"), b.where("ord % 2 = 0")], ["page"], (F.round("quality", 6) >= 0.05) & (F.col("n_blocks") >= 2)).select("page", "id", "layer")
 
 
-def _drawn(pdf: pd.DataFrame, scale: float = 0.2) -> np.ndarray:
+def _drawn(rows: list, scale: float = 0.2) -> np.ndarray:
     """A page on which each block is a frame, a figure a filled one."""
     page = np.full((int(PAGE_H * scale), int(PAGE_W * scale), 3), 250, np.uint8)
-    for r in pdf.itertuples():
+    for r in rows:
         x1, y1, x2, y2 = (int(v * scale) for v in (r.x1, r.y1, r.x2, r.y2))
         page[y1:y2, x1:x2] = 30
         if r.category != "figure":
@@ -230,81 +230,84 @@ def _drawn(pdf: pd.DataFrame, scale: float = 0.2) -> np.ndarray:
 
 
 def _by_page(spark, d, f, schema: str):
-    cols = ["page", "id", "category", "x1", "y1", "x2", "y2"]
-    return fx(spark, d, "blocks").select(*cols).groupBy("page").applyInPandas(f, f"page bigint, {schema}")
+    cols = ["id", "category", "x1", "y1", "x2", "y2"]
+    return layout.per_page(fx(spark, d, "blocks"), ["page"], cols, f, schema)
+
+
+def _fifth(r) -> tuple:
+    return r.x1 / 5, r.y1 / 5, r.x2 / 5, r.y2 / 5
 
 
 @query("i01_crop")
 def i01(spark, d):
-    def run(pdf):
-        page = _drawn(pdf)
-        crops = [images.crop(page, (r.x1 / 5, r.y1 / 5, r.x2 / 5, r.y2 / 5), 2) for r in pdf.itertuples()]
-        return pd.DataFrame({"page": pdf.page.iloc[0], "id": pdf.id, "width": [c.shape[1] for c in crops], "height": [c.shape[0] for c in crops]})
+    def run(rows):
+        page = _drawn(rows)
+        return [(r.id, *images.crop(page, _fifth(r), 2).shape[:2]) for r in rows]
 
-    return _by_page(spark, d, run, "id string, width int, height int")
+    return _by_page(spark, d, run, "id string, height int, width int")
 
 
-@query("i05_review_crop")
+@query("i05_review_crop", """SELECT page, id, greatest(0, floor(x1 - least(greatest(8, 1.25 * (y2 - y1)), 40))) AS x1, greatest(0, floor(y1 - least(greatest(8, 1.25 * (y2 - y1)), 56))) AS y1, x1 - greatest(0, floor(x1 - least(greatest(8, 1.25 * (y2 - y1)), 40))) AS target_x1 FROM fx_blocks""")
 def i05(spark, d):
-    def run(pdf):
-        got = [images.review_window((r.x1, r.y1, r.x2, r.y2), PAGE_W, PAGE_H, r.y2 - r.y1) for r in pdf.itertuples()]
-        return pd.DataFrame({"page": pdf.page.iloc[0], "id": pdf.id, "x1": [float(g[0][0]) for g in got], "y1": [float(g[0][1]) for g in got], "target_x1": [g[1][0] for g in got]})
+    def run(rows):
+        got = [(r.id, images.review_window((r.x1, r.y1, r.x2, r.y2), PAGE_W, PAGE_H, r.y2 - r.y1)) for r in rows]
+        return [(i, float(w[0]), float(w[1]), t[0]) for i, (w, t) in got]
 
     return _by_page(spark, d, run, "id string, x1 double, y1 double, target_x1 double")
 
 
 @query("i06_residual")
 def i06(spark, d):
-    def run(pdf):
-        page = _drawn(pdf)
-        left = images.residual(page, [{"category": r.category, "box": (r.x1 / 5, r.y1 / 5, r.x2 / 5, r.y2 / 5)} for r in pdf.itertuples()])
-        return pd.DataFrame({"page": [pdf.page.iloc[0]], "dark_before": [int((page < 100).sum())], "dark_after": [int((left < 100).sum())]})
+    def run(rows):
+        page = _drawn(rows)
+        left = images.residual(page, [{"category": r.category, "box": _fifth(r)} for r in rows])
+        return [(int((page < 100).sum()), int((left < 100).sum()))]
 
     return _by_page(spark, d, run, "dark_before bigint, dark_after bigint")
 
 
 @query("i07_ink_mask")
 def i07(spark, d):
-    return _by_page(spark, d, lambda pdf: pd.DataFrame({"page": [pdf.page.iloc[0]], "ink": [int(images.ink_mask(_drawn(pdf)).sum())]}), "ink bigint")
+    return _by_page(spark, d, lambda rows: [(int(images.ink_mask(_drawn(rows)).sum()),)], "ink bigint")
 
 
 @query("i08_components")
 def i08(spark, d):
-    return _by_page(spark, d, lambda pdf: pd.DataFrame({"page": [pdf.page.iloc[0]], "parts": [len(images.components(images.ink_mask(_drawn(pdf))))]}), "parts bigint")
+    return _by_page(spark, d, lambda rows: [(len(images.components(images.ink_mask(_drawn(rows)))),)], "parts bigint")
 
 
 @query("i09_figures")
 def i09(spark, d):
-    def run(pdf):
-        boxes, unsure = images.figures(_drawn(pdf[pdf.category == "figure"]))
-        return pd.DataFrame({"page": [pdf.page.iloc[0]], "figures": [len(boxes)], "uncertain": [unsure]})
+    def run(rows):
+        boxes, unsure = images.figures(_drawn([r for r in rows if r.category == "figure"]))
+        return [(len(boxes), unsure)]
 
     return _by_page(spark, d, run, "figures bigint, uncertain boolean")
 
 
 @query("i10_contact_sheet")
 def i10(spark, d):
-    def run(pdf):
-        page = _drawn(pdf)
-        sheet, regions = images.contact_sheet([images.crop(page, (r.x1 / 5, r.y1 / 5, r.x2 / 5, r.y2 / 5), 2) for r in pdf.itertuples()])
-        return pd.DataFrame({"page": [pdf.page.iloc[0]], "width": [sheet.shape[1]], "height": [sheet.shape[0]], "regions": [len(regions)]})
+    def run(rows):
+        page = _drawn(rows)
+        sheet, regions = images.contact_sheet([images.crop(page, _fifth(r), 2) for r in rows])
+        return [(sheet.shape[1], sheet.shape[0], len(regions))]
 
     return _by_page(spark, d, run, "width int, height int, regions int")
 
 
-@query("i03_packed_crop")
+@query("i03_packed_crop", "SELECT page, max(CAST(floor(x2 / 5) - floor(x1 / 5) AS INT)) AS width, CAST(sum(floor(y2 / 5) - floor(y1 / 5)) + 4 * (count(*) - 1) AS INT) AS height FROM fx_blocks GROUP BY page")
 def i03(spark, d):
-    def run(pdf):
-        page = _drawn(pdf)
-        out = images.stacked([images.crop(page, (r.x1 / 5, r.y1 / 5, r.x2 / 5, r.y2 / 5), 0) for r in pdf.itertuples()], 4)
-        return pd.DataFrame({"page": [pdf.page.iloc[0]], "width": [out.shape[1]], "height": [out.shape[0]]})
+    def run(rows):
+        page = _drawn(rows)
+        out = images.stacked([images.crop(page, _fifth(r), 0) for r in rows], 4)
+        return [(out.shape[1], out.shape[0])]
 
     return _by_page(spark, d, run, "width int, height int")
 
 
 @query("a15_background")
 def a15(spark, d):
-    return _by_page(spark, d, lambda pdf: pd.DataFrame([(pdf.page.iloc[0], *images.background(_drawn(pdf)))], columns=["page", "r", "g", "b"]), "r int, g int, b int")
+    return _by_page(spark, d, lambda rows: [images.background(_drawn(rows))], "r int, g int, b int")
 
 
 @query("i11_data_url", "SELECT page_id AS id, 'data:image/png;base64,' || to_base64(encode(html)) AS url FROM pages")
