@@ -1,0 +1 @@
+"""Functions on columns and strings."""

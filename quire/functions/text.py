@@ -138,6 +138,7 @@ def text_source(s: Column) -> Column:
     return F.regexp_replace(v, r"\n\s*`{3}$", "")
 
 
+#: What a heading and a list item look like.
 HEADING = r"^\s*(#{1,6})\s+(.+)$"
 LIST_ITEM = r"^\s*(?:([-*•])\s+|(\d+)[.)]\s+)(.+)$"
 
