@@ -179,10 +179,11 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return marked.mapInArrow(run, "doc_id bigint, key bigint, n_lines bigint, n_removed bigint, kept string")
 
 
-def without(marked: DataFrame) -> DataFrame:
-    """Rows with text and gone (packed numbers of lines, or null): the lines cut out of text, and n_chars, if there is one,
-    counted again for changed texts. Rows go that had a word and have none left."""
-    names = [c for c in marked.columns if c != "gone"]
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs, with all their columns, less the lines gone (key, gone) of deletions(): n_chars, if there is one, is counted
+    again for changed texts. Rows go that had a word and have none left."""
+    row = docs.select(F.struct("*").alias("q_row"), F.col("text").alias("q_text"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("q_key"))
+    marked = row.join(gone.select(F.col("key").alias("q_key"), F.col("gone").alias("q_gone")), "q_key", "left").select("q_text", "q_gone", "q_row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in byte_slices(batches, "q_text"):
@@ -196,10 +197,15 @@ def without(marked: DataFrame) -> DataFrame:
             out = pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()).cast(pa.string(), safe=False), *b.columns[1:]], names=b.schema.names)
             yield out.filter(pa.array(keep, pa.bool_()))
 
-    rows = marked.select(F.col("text").alias("q_text"), F.col("gone").alias("q_gone"), F.struct(*names).alias("q_row"))
-    cut = rows.mapInArrow(run, rows.schema)
-    value = lambda c: F.when(F.col("q_gone").isNotNull(), F.length("q_text")).otherwise(F.col("q_row.n_chars")).cast(marked.schema[c].dataType) if c == "n_chars" else F.col(f"q_row.`{c}`")
-    return cut.select(*((F.col("q_text") if c == "text" else value(c)).alias(c) for c in names))
+    def value(c: str):
+        own = F.col("q_row").getField(c)
+        if c == "text":
+            return F.col("q_text").alias(c)
+        if c == "n_chars":
+            own = F.when(F.col("q_gone").isNotNull(), F.length("q_text")).otherwise(own)
+        return own.cast(docs.schema[c].dataType).alias(c)
+
+    return marked.mapInArrow(run, marked.schema).select(*map(value, docs.columns))
 
 
 def digest(kept: DataFrame) -> DataFrame:

@@ -159,6 +159,21 @@ def test_leaks_of_templates(spark, anchors, monkeypatch):
     assert decontaminate.leaks(frame(spark, []), bench).count() == 0 and decontaminate.leaks(frame(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_stages_on_odd_tables(spark, data):
+    import corpus_pipeline
+
+    same = "one two three four five six\nseven eight nine ten eleven"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, key string, gone int, kept string, c0 string, q_row string, pos string"
+    rows = [(1, same, None, None, None, "k", 1, "x", "c", "r", "p"), (1, same, None, None, None, "k", 1, "x", "c", "r", "p"), (2, same + "\nnew words", "en", "s", 5, None, None, None, None, None, None), (None, None, None, None, None, "k", 1, "x", "c", "r", "p"), (3, "", None, None, 0, "k", 1, "x", "c", "r", "p"), (4, "w " * 90_000, None, None, 1, "k", 1, "x", "c", "r", "p")]
+    for df in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, df, data)
+            assert out.columns == df.columns and out.count() <= len(rows)
+        assert corpus_pipeline.STAGES[-1][1](spark, df, data).count() == df.count()
+    cut = {r.doc_id: r for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, schema), data).collect()}
+    assert (cut[2].text, cut[2].n_chars, cut[1].key, cut[1].text) == ("new words", 9, "k", same)
+
+
 def test_pipeline_stages(spark, data):
     import corpus_pipeline
 
