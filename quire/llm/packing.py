@@ -147,7 +147,7 @@ class WordEncoder:
     Words seen lately are kept in two generations of up to `most` words each.
     """
 
-    def __init__(self, path: str, most: int = 450_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
