@@ -1,15 +1,19 @@
 """Line dedup by pairwise alignment.
 
 A document is its lines, cut at LF, each hashed without white space at its ends.
-Every line that two documents share leads from the later document to the earliest
-that holds it, however many hold it: a line costs a document one partner, so a line
-in a third of all documents makes no group of pairs. A document takes its shared
-lines from the rarest on. Unless an alignment has already deleted the line, the
-document is aligned with that line's partner by patience diff: lines that are alike
-at both ends of a range are matched, then lines that both ranges hold once, in the
-longest order that both keep, and so on between them. Each aligned common block of
-`min_words` words or more is deleted from the later document. What is aligned are
-the documents as they came in, so the result doesn't depend on any order of work.
+Two documents are aligned by patience diff: lines that are alike at both ends of a
+range are matched, then lines that both ranges hold once, in the longest order that
+both keep, and so on between them. Each aligned common block of `min_words` words or
+more is deleted from the later document. The result is that of aligning a document
+with every earlier one; what is aligned are the documents as they came in, so it
+doesn't depend on any order of work.
+
+Fewer are aligned. A line can only be in a block of an earlier document that holds a
+smallest run of lines of `min_words` words around it. Lines that one document alone
+holds match nothing, so documents that are the same but for those are one class, and
+its earliest document stands for it. Each run leads to the earliest class that holds
+it, and a run of which a line is left on to further ones, in rounds of eight times as
+many, until nothing is left to try.
 
 Defined results. A null or empty text has no line with a word, and loses none. Lines
 without a word are no reason for a pair and are deleted only inside a block. Rows
@@ -21,27 +25,30 @@ Other columns are not read.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import byte_slices, filled, new_folder, removed, written
 
 MIN_WORDS = 5
+#: Hashes of lines that no other document holds, in a document and in the one that stands for a class.
+OWN, OTHER = 1, 2
+_BASE, _PRIME = 0x9E3779B97F4A7C15 % ((1 << 61) - 1), (1 << 61) - 1
 
 
 def line_hash(line: bytes) -> int:
-    """Of a line without the white space at its ends, as a signed 64-bit integer; 0 if nothing is left."""
+    """Of a line without the white space at its ends, as a signed 64-bit integer; 0 if nothing is left, never OWN or OTHER."""
     line = line.strip(b" \t\n\r\x0b\x0c")
     if not line:
         return 0
-    h = xxhash.xxh64_intdigest(line, 10) or 1
+    h = max(xxhash.xxh64_intdigest(line, 10), 3)
     return h - (1 << 64) if h >> 63 else h
 
 
@@ -95,15 +102,47 @@ def blocks(pairs: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
             at = n
 
 
-def deleted(lines: list[int], words: list[int], shared: list[tuple[int, int, int]], partners: dict[int, list[int]], min_words: int) -> set[int]:
-    """Numbers of lines to delete; shared: (holders, earliest holder, line number) of shared lines; partners: lines by id."""
+def folded(lines: Sequence[int]) -> list[int]:
+    """What of a document others can match: runs of its own lines as one OTHER."""
+    return [OTHER if x == OWN else x for n, x in enumerate(lines) if x != OWN or not n or lines[n - 1] != OWN]
+
+
+def runs(lines: Sequence[int], words: Sequence[int], min_words: int) -> dict[int, set[int]]:
+    """The smallest runs of lines with min_words words around each line, by hash, and the lines they are for; equal hashes
+    of different runs lead to more documents only."""
+    sums, hashes, powers, full = [0], [0], [1], []
+    for n, (x, k) in enumerate(zip(lines, words, strict=True)):
+        sums.append(sums[-1] + k)
+        hashes.append((hashes[-1] * _BASE + x + (1 << 63)) % _PRIME)
+        powers.append(powers[-1] * _BASE % _PRIME)
+        if x:
+            full.append(n)
+    out: dict[int, set[int]] = {}
+    ends = [n for n, x in enumerate(lines) if x == OWN] + [len(lines)]
+    for low, high in zip([0, *(n + 1 for n in ends)], ends):  # noqa: B905
+        for n in range(low, high):
+            at, i = bisect_right(full, n) - 1, n
+            while i >= low:
+                j = max(n, bisect_left(sums, sums[i] + min_words) - 1)
+                if j < high:
+                    out.setdefault((hashes[j + 1] - hashes[i] * powers[j + 1 - i]) % _PRIME, set()).add(n)
+                if sums[n + 1] - sums[i] >= min_words:
+                    break
+                at -= at >= 0 and full[at] == i
+                if at < 0:
+                    break
+                i = full[at]
+    return out
+
+
+def deleted(lines: list[int], words: list[int], partners: list[tuple[list[int], list[int]]], min_words: int) -> set[int]:
+    """Numbers of lines to delete; partners: (lines, hashes of runs that led to it). One whose lines are all gone is not aligned."""
     gone: set[int] = set()
-    met: set[int] = set()
-    for _, first, n in sorted(shared):
-        if n in gone or first in met:
+    around = runs(lines, words, min_words)
+    for other, why in sorted(partners, key=lambda p: -len(p[1])):
+        if all(around[w] <= gone for w in why):
             continue
-        met.add(first)
-        for a, b in blocks(patience(partners.get(first, []), lines)):
+        for a, b in blocks(patience(folded(other), lines)):
             if sum(words[a:b]) >= min_words:
                 gone.update(range(a, b))
     return gone
@@ -125,32 +164,108 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select("key", "doc_id", "text").mapInArrow(run, "key bigint, id bigint, lines array<bigint>, words array<int>")
 
 
-def deletions(rows: DataFrame, folder: str, min_words: int) -> DataFrame:
-    """(key, gone): numbers of the lines to delete from rows (key, doc_id, text), as packed 32-bit integers."""
-    sketch = written(sketches(rows.where("doc_id IS NOT NULL AND text IS NOT NULL")).dropDuplicates(["key"]), folder, "sketch")
-    each = sketch.select("key", "id", F.posexplode("lines").alias("n", "line")).where("line <> 0")
-    held = each.groupBy("line").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("holders")).where("first < last").select("line", "first", "holders")
-    shared = each.join(held, "line").where("id > first").groupBy("key").agg(F.collect_list(F.struct("holders", "first", "n")).alias("shared"))
-    shared = written(shared, folder, "shared")
-    refs = sketch.groupBy("id").agg(F.min_by("lines", "key").alias("lines"))
-    pairs = shared.select("key", F.explode(F.array_distinct(F.transform("shared", lambda s: s["first"]))).alias("id"))
-    partners = pairs.join(refs, "id").groupBy("key").agg(F.collect_list(F.struct("id", "lines")).alias("partners"))
-    work = sketch.join(shared, "key").join(partners, "key").select("key", "lines", "words", "shared", "partners")
+def _lists(parts: list[list[int]], kind: pa.DataType) -> pa.ListArray:
+    return pa.array(parts, pa.list_(kind))
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """(key, id, lines, words, class) of rows (key, id, lines, words, found): lines not found elsewhere become OWN."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                b = batch.slice(at, 256)
+                marked, classes = [], []
+                for lines, found in zip(b.column("lines").to_pylist(), b.column("found").to_pylist(), strict=True):
+                    keep = set(found)
+                    marked.append([x if not x or n in keep else OWN for n, x in enumerate(lines)])
+                    classes.append(xxhash.xxh3_128_digest(np.array(folded(marked[-1]), "<i8").tobytes()))
+                yield pa.RecordBatch.from_arrays([b.column("key"), b.column("id"), _lists(marked, pa.int64()), b.column("words"), pa.array(classes, pa.binary())], names=["key", "id", "lines", "words", "class"])
+
+    return rows.select("key", "id", "lines", "words", "found").mapInArrow(run, "key bigint, id bigint, lines array<bigint>, words array<int>, class binary")
+
+
+def _left(rows: DataFrame, min_words: int) -> DataFrame:
+    """(key, id, w): runs of rows (key, id, lines, words, gone) for lines that are not among the gone ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 b = batch.slice(at, 256)
+                left = []
+                for lines, words, parts in zip(*(b.column(c).to_pylist() for c in ("lines", "words", "gone")), strict=True):
+                    out = set(np.frombuffer(b"".join(parts or []), "<u4").tolist())
+                    left.append([w for w, ns in runs(lines, words, min_words).items() if not ns <= out])
+                yield pa.RecordBatch.from_arrays([b.column("key"), b.column("id"), _lists(left, pa.int64())], names=["key", "id", "left"])
+
+    return rows.select("key", "id", "lines", "words", "gone").mapInArrow(run, "key bigint, id bigint, left array<bigint>").select("key", "id", F.explode("left").alias("w"))
+
+
+def _aligned(rows: DataFrame, min_words: int) -> DataFrame:
+    """(key, gone) of rows (key, lines, words, partners)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                b = batch.slice(at, 64)
                 gone = []
-                for lines, words, found, others in zip(*(b.column(c).to_pylist() for c in ("lines", "words", "shared", "partners")), strict=True):
-                    out = deleted(lines, words, [(s["holders"], s["first"], s["n"]) for s in found], {o["id"]: o["lines"] for o in others}, min_words)
+                for lines, words, others in zip(*(b.column(c).to_pylist() for c in ("lines", "words", "partners")), strict=True):
+                    out = deleted(lines, words, [(o["lines"], o["why"]) for o in others], min_words)
                     gone.append(np.array(sorted(out), "<u4").tobytes())
                 yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(gone, pa.binary())], names=["key", "gone"])
 
-    found = written(work.mapInArrow(run, "key bigint, gone binary").where("length(gone) > 0"), folder, "gone")
-    removed(rows.sparkSession, f"{folder}/shared")
-    removed(rows.sparkSession, f"{folder}/sketch")
-    return found
+    return rows.select("key", "lines", "words", "partners").mapInArrow(run, "key bigint, gone binary").where("length(gone) > 0")
+
+
+def _union(parts: DataFrame) -> DataFrame:
+    """(key, gone) with one row a key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            gone = [np.unique(np.frombuffer(b"".join(x), "<u4")).astype("<u4").tobytes() for x in b.column("gone").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(gone, pa.binary())], names=["key", "gone"])
+
+    return parts.groupBy("key").agg(F.collect_list("gone").alias("gone")).mapInArrow(run, "key bigint, gone binary")
+
+
+def deletions(rows: DataFrame, folder: str, min_words: int) -> DataFrame:
+    """(key, gone): numbers of the lines to delete from rows (key, doc_id, text), as packed 32-bit integers."""
+    spark = rows.sparkSession
+    sketch = written(sketches(rows.where("doc_id IS NOT NULL AND text IS NOT NULL")).dropDuplicates(["key"]), folder, "sketch")
+    each = sketch.select("key", "id", F.posexplode("lines").alias("n", "line")).where("line <> 0")
+    held = each.groupBy("line").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("line")
+    found = each.join(held, "line").groupBy("key").agg(F.collect_list("n").alias("found"))
+    work = written(_shared(sketch.join(found, "key")), folder, "work")
+    stands = sketch.groupBy("id").agg(F.min("key").alias("key")).select("key")
+    first = F.min(F.struct("id", "lines", "words")).alias("least")
+    classes = work.join(stands, "key", "left_semi").groupBy("class").agg(first).select(F.col("least.id").alias("id"), F.col("least.lines").alias("lines"), F.col("least.words").alias("words"))
+    classes = written(classes, folder, "classes")
+    removed(spark, f"{folder}/sketch")
+    none = F.lit(None).cast("array<binary>").alias("gone")
+    index = written(_left(classes.select(F.col("id").alias("key"), "id", "lines", "words", none), min_words).select("w", F.col("id").alias("rep")), folder, "index")
+    left = written(_left(work.withColumn("gone", none), min_words), folder, "left0")
+    holders = index.groupBy("w").agg(F.min("rep").alias("rep"))
+    gone, low, high = None, 0, 1
+    while True:
+        pairs = left.join(holders, "w").where("rep < id").groupBy("key", "rep").agg(F.collect_set("w").alias("why"))
+        pairs = written(pairs, folder, f"pairs{high}")
+        if low and pairs.isEmpty():
+            break
+        others = pairs.join(classes.select(F.col("id").alias("rep"), "lines"), "rep")
+        part = F.pmod(F.xxhash64("rep"), F.lit(max(1, high // 8)))  # a row holds a bounded share of a round's partners
+        others = others.groupBy("key", part.alias("part")).agg(F.collect_list(F.struct("lines", "why")).alias("partners")).drop("part")
+        more = written(_aligned(work.join(others, "key"), min_words), folder, f"gone{high}")
+        gone = more if gone is None else gone.unionByName(more)
+        # only documents that had a run to try can have one left
+        tried = work.join(pairs.select("key").distinct(), "key", "left_semi").join(gone.groupBy("key").agg(F.collect_list("gone").alias("gone")), "key", "left")
+        left = written(_left(tried, min_words), folder, f"left{high}")
+        low, high = high, high * 8
+        ranked = index.join(left.select("w").distinct(), "w", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("w").orderBy("rep")))
+        holders = ranked.where(F.col("rank").between(low + 1, high)).select("w", "rep")
+    out = written(_union(gone), folder, "gone")
+    for name in ("work", "classes", "index", "left0", *(f"{x}{8**k}" for k in range(30) if 8**k <= high for x in ("left", "pairs", "gone"))):
+        removed(spark, f"{folder}/{name}")
+    return out
 
 
 def keyed(docs: DataFrame) -> DataFrame:

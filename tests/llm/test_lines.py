@@ -69,3 +69,42 @@ def test_edges(spark):
     rows = [(None, same, "k", 1), (None, same, "k", 1), (1, same, "k", 1), (1, same, "k", 1), (2, same, None, None)]
     got = sorted((r.doc_id or 0, r.n_removed) for r in lines.dedup_lines(spark.createDataFrame(rows, schema)).collect())
     assert got == [(0, 0), (0, 0), (1, 0), (1, 0), (2, 2)]
+
+
+def brute(rows, min_words=lines.MIN_WORDS):
+    """{doc_id: kept text} of rows with distinct ids: every document aligned with every earlier one."""
+    cut = {i: t.split("\n") for i, t in rows}
+    key = {i: [x.strip(" \t\n\r\x0b\x0c") for x in ls] for i, ls in cut.items()}
+    out = {}
+    for i, ls in cut.items():
+        gone = set()
+        for r in key:
+            if r < i and set(key[r]) & set(key[i]) - {""}:
+                for a, b in lines.blocks(lines.patience(key[r], key[i])):
+                    if sum(len(x.split()) for x in ls[a:b]) >= min_words:
+                        gone.update(range(a, b))
+        out[i] = "\n".join(x for n, x in enumerate(ls) if n not in gone)
+    return out
+
+
+def test_equals_alignment_with_every_earlier_document(spark):
+    rnd = random.Random(11)
+    pool = [" ".join(f"w{k}_{j}" for j in range(rnd.choice((0, 0, 1, 2, 3, 5, 8)))) for k in range(25)]
+    rows = []
+    for i in range(400):
+        ls = [rnd.choice(pool) if rnd.random() < 0.75 else f"own{i}_{n} a b" for n in range(rnd.randrange(1, 12))]
+        if rows and rnd.random() < 0.5:  # part of an earlier document
+            old = rnd.choice(rows)[1].split("\n")
+            ls[(at := rnd.randrange(len(ls))) : at] = old[(a := rnd.randrange(len(old))) : a + 4]
+        rows.append((i, "\n".join(ls)))
+    rnd.shuffle(rows)
+    want = brute(rows)
+    got = {r.doc_id: r.kept for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and plain(rows) != want
+
+
+def test_further_holders_of_a_line(spark):
+    a, b = "one two three four five six", "six seven eight nine ten eleven twelve"
+    rows = [(1, f"{a}\nx\n{b}"), (2, f"{b}\ny\n{b} z\n{a}"), (3, f"{b}\nu\nv\n{a}"), (4, "p q\nr s t"), (5, "p q\nalone\nr s t"), (6, "r s t\nmore\np q\nr s t")]
+    got = {r.doc_id: r.kept for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) and got[3] == "u\nv" and got[6] == "r s t\nmore"
