@@ -5,13 +5,16 @@ starts with a digit becomes a number (#num) or a quantity with its unit (#qty),
 unit word #unit, a capitalised word that starts neither the text nor a sentence
 #name: a question asked again with other numbers, names and units has the same
 template. Templates are hashed in windows of 8 tokens (three rounds of pairing
-neighbours); a window counts if 5 of its tokens are no placeholders. Documents'
-windows are joined with the benchmark's by hash.
+neighbours); a window counts if 5 of its tokens are no placeholders. Every window is
+hashed a second time with its lower-cased tokens as they are, so verbatim passages are
+found in any case (UPPER CASE and Title Case make other names); such a window counts
+if 5 of its tokens are not empty. Documents' windows are joined with the benchmark's by
+hash.
 
 Matches on one diagonal (place in the document less place in the item) tell which
 token fills which slot. A diagonal counts if each value of the item stands for one
-value of the document throughout, and different names stay different. A document
-leaks an item if the diagonals that count cover 13 of its tokens, or 6 in 10.
+value of the document throughout, and different names stay different; windows equal
+token for token count whatever the rest of the diagonal says. A document leaks an item if the diagonals that count cover 13 of its tokens, or 6 in 10.
 
 The benchmark's windows are broadcast if their number keeps them under BROADCAST
 bytes, else both sides are shuffled. Up to ANCHORS windows, templates are made around
@@ -72,17 +75,20 @@ def with_template(df: DataFrame) -> DataFrame:
     return out.withColumn("q_canon", F.transform("q_low", canon)).drop("q_cores")
 
 
-def window_hashes(canon: Column) -> Column:
+def window_hashes(tokens: Column, *salt: Column) -> Column:
     """A hash for each run of 8 tokens; the last 7 places have none of their own and are to be left out."""
     pair = lambda x, step: F.zip_with(x, F.slice(x, F.lit(step + 1), F.greatest(F.size(x) - step, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-    return pair(pair(pair(F.transform(canon, lambda t: F.xxhash64(t)), 1), 2), 4)
+    return pair(pair(pair(F.transform(tokens, lambda t: F.xxhash64(t, *salt)), 1), 2), 4)
 
 
 def windows(df: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, pos, hash) of every window of rows with q_canon."""
-    hashed = df.select(*keys, window_hashes(F.col("q_canon")).alias("q_hashes"))
+    """(keys, pos, hash, literal) of every window of rows with q_canon and q_low: by its template, and literally."""
+    both = F.zip_with(window_hashes(F.col("q_canon")), window_hashes(F.col("q_low"), F.lit(1)), lambda t, w: F.struct(t.alias("t"), w.alias("w")))
+    hashed = df.select(*keys, both.alias("q_hashes"))
     whole = F.slice("q_hashes", F.lit(1), F.greatest(F.size("q_hashes") - (K - 1), F.lit(0)))
-    return hashed.select(*keys, F.posexplode(whole).alias("pos", "hash"))
+    each = hashed.select(*keys, F.posexplode(whole).alias("pos", "h"))
+    kinds = F.array(F.struct(F.col("h.t").alias("hash"), F.lit(False).alias("literal")), F.struct(F.col("h.w").alias("hash"), F.lit(True).alias("literal")))
+    return each.select(*keys, "pos", F.explode(kinds).alias("k")).select(*keys, "pos", "k.hash", "k.literal")
 
 
 def covered(places: Column) -> Column:
@@ -104,8 +110,8 @@ def _letters(text: Column) -> Column:
 def _segments(rows: DataFrame, anchors: list[int] | None) -> DataFrame:
     """(q_key, doc_id, q_from, q_words): runs of words of the rows (q_key, doc_id, text) that start at place q_from.
 
-    A window that counts has two neighbouring tokens that are no placeholders, and a document's window of the same
-    template has the same two; the pair with the most letters stands for a window of the benchmark, and `anchors` are
+    A window that counts has two neighbouring tokens that are no placeholders (that are not empty, if it counts literally
+    only), and a document's window of the same hash has the same two; the pair with the most letters stands for a window of the benchmark, and `anchors` are
     the hashes of these pairs. Only words around a document's pairs with such a hash can match: up to 6 before, 7
     behind, and one more that tells whether a sentence starts. Without anchors the run is the whole text.
     """
@@ -130,29 +136,30 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     folder = new_folder(docs.sparkSession, "leaks")
     items = with_template(benchmark.select("item_id", words(F.col("text")).alias("q_words")))
     literal = lambda t: (t != "") & ~F.startswith(t, F.lit("#"))
-    marked = items.select("item_id", "q_canon", "q_low", F.transform("q_canon", lambda t: literal(t).cast("int")).alias("q_flags"))
-    index = windows(marked, ["item_id", "q_flags", "q_low"])
-    index = index.where(F.aggregate(F.slice("q_flags", F.col("pos") + 1, F.lit(K)), F.lit(0), lambda s, x: s + x) >= LITERALS)
+    marked = items.select("item_id", "q_canon", "q_low", F.transform("q_canon", lambda t: literal(t).cast("int")).alias("q_flags"), F.transform("q_low", lambda t: (t != "").cast("int")).alias("q_full"))
+    index = windows(marked, ["item_id", "q_flags", "q_full", "q_low"])
+    counts = lambda flags: F.aggregate(F.slice(flags, F.col("pos") + 1, F.lit(K)), F.lit(0), lambda s, x: s + x) >= LITERALS
+    index = index.where(F.when(F.col("literal"), counts("q_full")).otherwise(counts("q_flags")))
     index = written(index, folder, "index")
-    slim = index.select("item_id", F.col("pos").alias("ipos"), "hash").distinct()
-    side = slim.groupBy("hash").agg(F.collect_list(F.struct("item_id", "ipos")).alias("at"))
+    slim = index.select("item_id", F.col("pos").alias("ipos"), "literal", "hash").distinct()
+    side = slim.groupBy("hash").agg(F.collect_list(F.struct("item_id", "ipos", "literal")).alias("at"))
     n = slim.count()
     if n * 64 <= BROADCAST:
         side = F.broadcast(side)
     anchors = None
     if n <= ANCHORS:
-        at = F.filter(F.sequence(F.col("pos"), F.col("pos") + (K - 2)), lambda i: (F.get("q_flags", i) + F.get("q_flags", i + 1)) == 2)
+        at = F.filter(F.sequence(F.col("pos"), F.col("pos") + (K - 2)), lambda i: (F.get("q_pair", i) + F.get("q_pair", i + 1)) == 2)
         low = lambda i: F.get("q_low", i)
         best = F.array_max(F.transform(at, lambda i: F.struct((F.length(low(i)) + F.length(low(i + 1))).alias("n"), low(i).alias("a"), low(i + 1).alias("b"))))
-        anchors = sorted(r.h for r in index.select(best.alias("p")).select(F.xxhash64(_letters(F.col("p.a")), _letters(F.col("p.b"))).alias("h")).distinct().collect())  # up to ANCHORS numbers
+        anchors = sorted(r.h for r in index.withColumn("q_pair", F.when(counts("q_flags"), F.col("q_flags")).otherwise(F.col("q_full"))).select(best.alias("p")).select(F.xxhash64(_letters(F.col("p.a")), _letters(F.col("p.b"))).alias("h")).distinct().collect())  # up to ANCHORS numbers
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("q_key"))
     if anchors == []:
         rows = rows.where("false")
     found = windows(with_template(_segments(rows, anchors or None)), ["q_key", "doc_id", "q_from", "q_low"])
     # the word before a run is no part of a window, unless it starts the text
     found = found.where((F.col("pos") > 0) | (F.col("q_from") == 0)).select("q_key", "doc_id", (F.col("q_from") + F.col("pos")).alias("pos"), "hash", F.slice("q_low", F.col("pos") + 1, F.lit(K)).alias("said"))
-    hits = found.join(side, "hash").select("q_key", "doc_id", "pos", "said", F.explode("at").alias("a")).select("q_key", "doc_id", "a.item_id", "a.ipos", (F.col("pos") - F.col("a.ipos")).alias("diag"), "said")
-    runs = hits.groupBy("q_key", "doc_id", "item_id", "diag").agg(F.array_sort(F.collect_set(F.struct("ipos", "said"))).alias("places"))
+    hits = found.join(side, "hash").select("q_key", "doc_id", "pos", "said", F.explode("at").alias("a")).select("q_key", "doc_id", "a.item_id", "a.ipos", "a.literal", (F.col("pos") - F.col("a.ipos")).alias("diag"), "said")
+    runs = hits.groupBy("q_key", "doc_id", "item_id", "diag", "literal").agg(F.array_sort(F.collect_set(F.struct("ipos", "said"))).alias("places"))
 
     # what fills the slots; a repeated item_id is read by its smallest template
     template = items.groupBy("item_id").agg(F.min(F.struct("q_canon", "q_low")).alias("t")).select("item_id", F.col("t.q_canon").alias("i_canon"), F.col("t.q_low").alias("i_low"))
@@ -161,12 +168,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     filled = runs.join(template, "item_id")
     slot = lambda p, k: F.struct(F.get("i_canon", p["ipos"] + k).alias("kind"), F.get("i_low", p["ipos"] + k).alias("item"), F.get(p["said"], k).alias("doc"))
     pairs = F.flatten(F.transform("places", lambda p: F.transform(F.sequence(F.lit(0), F.lit(K - 1)), lambda k: slot(p, k))))
-    filled = filled.select("q_key", "doc_id", "item_id", F.transform("places", lambda p: p["ipos"]).alias("places"), F.size("i_canon").alias("item_tokens"), F.array_distinct(F.filter(pairs, lambda x: F.startswith(x["kind"], F.lit("#")))).alias("pairs"))
+    filled = filled.select("q_key", "doc_id", "item_id", "literal", F.transform("places", lambda p: p["ipos"]).alias("places"), F.size("i_canon").alias("item_tokens"), F.array_distinct(F.filter(pairs, lambda x: F.startswith(x["kind"], F.lit("#")))).alias("pairs"))
     named = F.filter("pairs", lambda x: x["kind"] == "#name")
     function = F.size(F.array_distinct(F.transform("pairs", lambda x: F.struct(x["kind"], x["item"])))) == F.size("pairs")
     distinct = F.size(F.array_distinct(F.transform(named, lambda x: x["doc"]))) == F.size(named)
     changed = F.exists("pairs", lambda x: x["item"] != x["doc"])
-    good = filled.where(function & distinct).select("q_key", "doc_id", "item_id", "places", "item_tokens", F.size("pairs").alias("slots"), changed.alias("changed"))
+    good = filled.where(F.col("literal") | (function & distinct)).select("q_key", "doc_id", "item_id", "places", "item_tokens", F.size("pairs").alias("slots"), changed.alias("changed"))
     total = good.groupBy("q_key", "doc_id", "item_id").agg(
         covered(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places"))))).cast("long").alias("covered"),
         F.max("item_tokens").cast("long").alias("item_tokens"),

@@ -190,3 +190,12 @@ def test_pipeline_stages(spark, data):
     assert len(ids) == len(out) and ids <= {r.doc_id for r in kept.collect()}
     leaking = {r.doc_id for r in queries.op7_template_leaks(spark, data).collect()}
     assert len(leaking & ids) < len(leaking)
+
+
+@pytest.mark.parametrize("anchors", [20_000, 0])
+def test_leaks_in_any_case(spark, anchors, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ANCHORS", anchors)
+    clash = ITEM.replace("Tom bought", "Max bought").replace("Tom again", "Bob again")
+    rows = [(1, "X Y " + ITEM.upper() + " END"), (2, ITEM.title()), (3, "Some other TEXT ABOUT APPLES AT THE MARKET"), (4, clash)]
+    got = {r.doc_id for r in decontaminate.leaks(frame(spark, rows), spark.createDataFrame([(10, ITEM)], "item_id long, text string")).collect()}
+    assert got == {1, 2, 4}
