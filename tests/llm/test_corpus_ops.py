@@ -199,3 +199,18 @@ def test_leaks_in_any_case(spark, anchors, monkeypatch):
     rows = [(1, "X Y " + ITEM.upper() + " END"), (2, ITEM.title()), (3, "Some other TEXT ABOUT APPLES AT THE MARKET"), (4, clash)]
     got = {r.doc_id for r in decontaminate.leaks(frame(spark, rows), spark.createDataFrame([(10, ITEM)], "item_id long, text string")).collect()}
     assert got == {1, 2, 4}
+
+
+def test_pairs_at_the_bound_become_candidates():
+    rnd, pairs = random.Random(5), []
+    while len(pairs) < 200:
+        a = [f"w{rnd.randrange(3000)}" for _ in range(300)]
+        b = list(a)
+        for _ in range(rnd.randrange(5, 9)):
+            b[rnd.randrange(300)] = f"e{rnd.randrange(10**6)}"
+        x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+        if 0.8 <= len(x & y) / len(x | y) < 0.82:
+            pairs.append([nearcopies.fingerprints_of(" ".join(w).encode()) for w in (a, b)])
+    masks = nearcopies._plan(np.array([f[0] for p in pairs for f in p], np.int64))
+    found = sum(any((x & m) == (y & m) for x, y in zip(*p, strict=True) for m in masks) for p in pairs)
+    assert found >= 0.98 * len(pairs)
