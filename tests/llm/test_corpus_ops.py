@@ -214,3 +214,24 @@ def test_pairs_at_the_bound_become_candidates():
     masks = nearcopies._plan(np.array([f[0] for p in pairs for f in p], np.int64))
     found = sum(any((x & m) == (y & m) for x, y in zip(*p, strict=True) for m in masks) for p in pairs)
     assert found >= 0.98 * len(pairs)
+
+
+def test_crowded_values_are_paired_off(spark):
+    far = (1 << 40) - 1  # 40 bits away from the lead
+    rows = [(1, 20, 0, 30)] + [(1, k, far if k in (27, 28) else 0, 30) for k in range(21, 50)]
+    shared = spark.createDataFrame(rows, "v long, key long, other long, n long")
+    roots = spark.createDataFrame([(k, 20) for k in range(20, 50) if k not in (27, 28)], "node long, root long")
+    assert {(r.a, r.b) for r in nearcopies.rest(shared, roots, 16).collect()} == {(27, 28)}
+    assert nearcopies.rest(shared, roots, 30).count() == 0
+    joined = roots.unionByName(spark.createDataFrame([(27, 27), (28, 27)], "node long, root long"))
+    assert nearcopies.rest(shared, joined, 16).count() == 0
+
+
+def test_near_copies_in_a_template_group(spark):
+    rnd, rows = random.Random(8), []
+    base = [f"t{n}" for n in range(300)]
+    for i in range(0, 120, 2):
+        w = base[:200] + [f"d{i}_{n}" for n in range(100)]
+        rows += [(i, " ".join(w)), (i + 1, " ".join(w[:-12] + [f"e{rnd.randrange(10**6)}" for _ in range(12)]))]
+    kept = {r.doc_id for r in nearcopies.groups(frame(spark, rows), bucket=1).where("key = keeper").join(frame(spark, rows).selectExpr("doc_id", "xxhash64(doc_id, text) AS key"), "key").collect()}
+    assert kept == set(range(0, 120, 2))
