@@ -44,6 +44,23 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as the side of a join that is sorted and merged at every size; Spark would broadcast it where it happens to be
+    small, and a plan that changes with the input says nothing about a larger one."""
+    return df.hint("merge")
+
+
+def looked_up(df: DataFrame) -> DataFrame:
+    """df, narrow and with distinct keys, as the side of a join that is hashed partition by partition, so that the other
+    side's rows, which hold whole texts, are moved once and never sorted."""
+    return df.hint("shuffle_hash")
+
+
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Delete a table that no later step reads."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -13,7 +13,8 @@ smallest run of lines of `min_words` words around it. Lines that one document al
 holds match nothing, so documents that are the same but for those are one class, and
 its earliest document stands for it. Each run leads to the earliest class that holds
 it, and a run of which a line is left on to further ones, in rounds of eight times as
-many, until nothing is left to try.
+many, until nothing is left to try: rare runs are done after a round or two, and common
+ones go on only where no alignment has deleted their lines.
 
 Defined results. A null or empty text has no line with a word, and loses none. Lines
 without a word are no reason for a pair and are deleted only inside a block. Rows
@@ -28,16 +29,19 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import byte_slices, filled, new_folder, removed, written
+from quire.llm.common import byte_slices, filled, looked_up, new_folder, quoted, removed, shuffled, written
 
 MIN_WORDS = 5
+#: Partners that go with a document into one row; one with more of them has several rows.
+PARTNERS = 16
 #: Hashes of lines that no other document holds, in a document and in the one that stands for a class.
 OWN, OTHER = 1, 2
 _BASE, _PRIME = 0x9E3779B97F4A7C15 % ((1 << 61) - 1), (1 << 61) - 1
@@ -231,39 +235,46 @@ def _union(parts: DataFrame) -> DataFrame:
 def deletions(rows: DataFrame, folder: str, min_words: int) -> DataFrame:
     """(key, gone): numbers of the lines to delete from rows (key, doc_id, text), as packed 32-bit integers."""
     spark = rows.sparkSession
-    sketch = written(sketches(rows.where("doc_id IS NOT NULL AND text IS NOT NULL")).dropDuplicates(["key"]), folder, "sketch")
+    made: list[str] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        made.append(name)
+        return written(df, folder, name)
+
+    sketch = kept(sketches(rows.where("doc_id IS NOT NULL AND text IS NOT NULL")).dropDuplicates(["key"]), "sketch")
     each = sketch.select("key", "id", F.posexplode("lines").alias("n", "line")).where("line <> 0")
-    held = each.groupBy("line").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("line")
-    found = each.join(held, "line").groupBy("key").agg(F.collect_list("n").alias("found"))
-    work = written(_shared(sketch.join(found, "key")), folder, "work")
+    held = kept(each.groupBy("line").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("line"), "held")
+    found = each.join(shuffled(held), "line").groupBy("key").agg(F.collect_list("n").alias("found"))
+    work = kept(_shared(sketch.join(shuffled(found), "key")), "work")
     stands = sketch.groupBy("id").agg(F.min("key").alias("key")).select("key")
     first = F.min(F.struct("id", "lines", "words")).alias("least")
-    classes = work.join(stands, "key", "left_semi").groupBy("class").agg(first).select(F.col("least.id").alias("id"), F.col("least.lines").alias("lines"), F.col("least.words").alias("words"))
-    classes = written(classes, folder, "classes")
-    removed(spark, f"{folder}/sketch")
+    classes = work.join(shuffled(stands), "key", "left_semi").groupBy("class").agg(first).select(F.col("least.id").alias("id"), F.col("least.lines").alias("lines"), F.col("least.words").alias("words"))
+    classes = kept(classes, "classes")
     none = F.lit(None).cast("array<binary>").alias("gone")
-    index = written(_left(classes.select(F.col("id").alias("key"), "id", "lines", "words", none), min_words).select("w", F.col("id").alias("rep")), folder, "index")
-    left = written(_left(work.withColumn("gone", none), min_words), folder, "left0")
-    holders = index.groupBy("w").agg(F.min("rep").alias("rep"))
-    gone, low, high = None, 0, 1
-    while True:
-        pairs = left.join(holders, "w").where("rep < id").groupBy("key", "rep").agg(F.collect_set("w").alias("why"))
-        pairs = written(pairs, folder, f"pairs{high}")
-        if low and pairs.isEmpty():
+    # (w, rep): classes that hold a run and were not tried for it yet
+    open_ = kept(_left(classes.select(F.col("id").alias("key"), "id", "lines", "words", none), min_words).select("w", F.col("id").alias("rep")), "open0")
+    left = kept(_left(work.withColumn("gone", none), min_words), "left0")
+    gone = None
+    for k in count():
+        # the earliest class of each of 8^k shares of a run's classes: no run is ranked in one task
+        share = F.pmod(F.xxhash64("rep"), F.lit(8**k))
+        holders = kept(open_.groupBy("w", share.alias("share")).agg(F.min("rep").alias("rep")).select("w", "rep"), f"holders{k}")
+        pairs = kept(left.join(shuffled(holders), "w").where("rep < id").groupBy("key", "rep").agg(F.collect_set("w").alias("why")), f"pairs{k}")
+        if k and pairs.isEmpty():
             break
-        others = pairs.join(classes.select(F.col("id").alias("rep"), "lines"), "rep")
-        part = F.pmod(F.xxhash64("rep"), F.lit(max(1, high // 8)))  # a row holds a bounded share of a round's partners
-        others = others.groupBy("key", part.alias("part")).agg(F.collect_list(F.struct("lines", "why")).alias("partners")).drop("part")
-        more = written(_aligned(work.join(others, "key"), min_words), folder, f"gone{high}")
+        parts = pairs.groupBy("key").agg(F.ceil(F.count("*") / PARTNERS).alias("parts"))
+        dealt = pairs.join(shuffled(parts), "key").select("key", "rep", "why", F.pmod(F.xxhash64("rep"), F.col("parts")).alias("part"))
+        others = dealt.join(shuffled(classes.select(F.col("id").alias("rep"), "lines")), "rep").groupBy("key", "part").agg(F.collect_list(F.struct("lines", "why")).alias("partners")).drop("part")
+        more = kept(_aligned(work.join(shuffled(others), "key"), min_words), f"gone{k}")
         gone = more if gone is None else gone.unionByName(more)
         # only documents that had a run to try can have one left
-        tried = work.join(pairs.select("key").distinct(), "key", "left_semi").join(gone.groupBy("key").agg(F.collect_list("gone").alias("gone")), "key", "left")
-        left = written(_left(tried, min_words), folder, f"left{high}")
-        low, high = high, high * 8
-        ranked = index.join(left.select("w").distinct(), "w", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("w").orderBy("rep")))
-        holders = ranked.where(F.col("rank").between(low + 1, high)).select("w", "rep")
+        lost = gone.groupBy("key").agg(F.collect_list("gone").alias("gone"))
+        tried = work.join(shuffled(pairs.select("key").distinct()), "key", "left_semi").join(shuffled(lost), "key", "left")
+        left = kept(_left(tried, min_words), f"left{k + 1}")
+        open_ = open_.join(shuffled(left.select("w").distinct()), "w", "left_semi").join(shuffled(holders), ["w", "rep"], "left_anti")
+        open_ = kept(open_, f"open{k + 1}")
     out = written(_union(gone), folder, "gone")
-    for name in ("work", "classes", "index", "left0", *(f"{x}{8**k}" for k in range(30) if 8**k <= high for x in ("left", "pairs", "gone"))):
+    for name in made:
         removed(spark, f"{folder}/{name}")
     return out
 
@@ -290,15 +301,16 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 kept.append(text)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(counts, pa.int64()), pa.array(lost, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string(), safe=False)], names=["doc_id", "key", "n_lines", "n_removed", "kept"])
 
-    marked = rows.join(gone, "key", "left").select("doc_id", "key", "text", "gone")
+    marked = rows.join(looked_up(gone), "key", "left").select("doc_id", "key", "text", "gone")
     return marked.mapInArrow(run, "doc_id bigint, key bigint, n_lines bigint, n_removed bigint, kept string")
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs, with all their columns, less the lines gone (key, gone) of deletions(): n_chars, if there is one, is counted
     again for changed texts. Rows go that had a word and have none left."""
-    row = docs.select(F.struct("*").alias("q_row"), F.col("text").alias("q_text"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("q_key"))
-    marked = row.join(gone.select(F.col("key").alias("q_key"), F.col("gone").alias("q_gone")), "q_key", "left").select("q_text", "q_gone", "q_row")
+    others = [c for c in docs.columns if c != "text"]
+    row = docs.select(F.struct(*(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(others))).alias("q_row"), F.col("text").alias("q_text"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("q_key"))
+    marked = row.join(looked_up(gone.select(F.col("key").alias("q_key"), F.col("gone").alias("q_gone"))), "q_key", "left").select("q_text", "q_gone", "q_row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in byte_slices(batches, "q_text"):
@@ -313,9 +325,9 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
             yield out.filter(pa.array(keep, pa.bool_()))
 
     def value(c: str):
-        own = F.col("q_row").getField(c)
         if c == "text":
             return F.col("q_text").alias(c)
+        own = F.col("q_row").getField(f"c{others.index(c)}")
         if c == "n_chars":
             own = F.when(F.col("q_gone").isNotNull(), F.length("q_text")).otherwise(own)
         return own.cast(docs.schema[c].dataType).alias(c)
