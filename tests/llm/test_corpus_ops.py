@@ -201,6 +201,44 @@ def test_leaks_in_any_case(spark, anchors, monkeypatch):
     assert got == {1, 2, 4}
 
 
+SLOTS = "Tom paid 12 dollars and 5 cents to Anna Bell in May 2010 for 3 kg of Rome Beauty apples in Oslo"
+AGAIN = "Kim paid 7 dollars and 9 cents to Olga Berg in June 1999 for 8 kg of Granny Smith apples in Lima"
+
+
+def test_leaks_of_short_items_and_items_rich_in_slots(spark):
+    bench = [(1, SLOTS), (2, "Solve 2x + 3 = 11 for x"), (3, "short one"), (4, None), (5, "12 13 14 15 16 17 18 19 20 21"), (6, "who wrote the old book")]
+    rows = [
+        (1, SLOTS), (2, "Well. " + AGAIN + " and so on"), (3, "see 12 13 14 15 16 17 18 19 20 21 end"), (4, "22 23 24 25 26 27 28 29 30 31"), (5, "short one"), (6, "Solve 2x + 3 = 11 for x"),
+        (7, "x " + SLOTS.upper()), (8, AGAIN.replace("Lima", "Smith")), (9, "So who wrote the old book then"), (10, "who wrote the new book"), (11, SLOTS.replace("and 5 cents", "")),
+    ]
+    want = {(1, 1), (2, 1), (3, 5), (6, 2), (7, 1), (8, 1), (9, 6), (11, 1)}
+    for anchors in (20_000, 0):
+        found = decontaminate.leaks(frame(spark, rows), spark.createDataFrame(bench, "item_id long, text string"), anchors)
+        assert {(r.doc_id, r.item_id) for r in found.collect()} == want
+
+
+def test_reparameterised_items_are_found(spark):
+    """Of items made up at random, asked again with other values; anchors change nothing."""
+    rnd = random.Random(12)
+    names, units = [f"N{chr(97 + k)}m{chr(97 + k % 7)}" for k in range(26)], ["km", "kg", "days", "dollars"]
+    common = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(200)]
+    shapes = [[rnd.choice("wwwwwwnnNu") for _ in range(rnd.randrange(9, 40))] for _ in range(150)]
+
+    def said(shape, words):
+        fill = {"n": lambda: str(rnd.randrange(10**6)), "N": lambda: rnd.choice(names), "u": lambda: rnd.choice(units)}
+        return " ".join(w if c == "w" else fill[c]() for c, w in zip(shape, words, strict=True))
+
+    rows, bench = [], []
+    for i, shape in enumerate(shapes):
+        words = [rnd.choice(common) for _ in shape]
+        bench.append((i, said(shape, words)))
+        rows.append((i, "before it some words stand, and then " + said(shape, words) + " and some behind it"))
+    rows += [(1000 + i, " ".join(rnd.choice(common) for _ in range(60))) for i in range(100)]
+    both = [{(r.doc_id, r.item_id, r.covered) for r in decontaminate.leaks(frame(spark, rows), spark.createDataFrame(bench, "item_id long, text string"), a).collect()} for a in (20_000, 0)]
+    hit = {i for i, j, _ in both[0] if i == j}
+    assert both[0] == both[1] and len(hit) >= 0.9 * len(shapes) and not any(i >= 1000 for i, _, _ in both[0])
+
+
 def test_pairs_at_the_bound_become_candidates():
     rnd, pairs = random.Random(5), []
     while len(pairs) < 200:
@@ -216,22 +254,70 @@ def test_pairs_at_the_bound_become_candidates():
     assert found >= 0.98 * len(pairs)
 
 
-def test_crowded_values_are_paired_off(spark):
-    far = (1 << 40) - 1  # 40 bits away from the lead
-    rows = [(1, 20, 0, 30)] + [(1, k, far if k in (27, 28) else 0, 30) for k in range(21, 50)]
-    shared = spark.createDataFrame(rows, "v long, key long, other long, n long")
-    roots = spark.createDataFrame([(k, 20) for k in range(20, 50) if k not in (27, 28)], "node long, root long")
-    assert {(r.a, r.b) for r in nearcopies.rest(shared, roots, 16).collect()} == {(27, 28)}
-    assert nearcopies.rest(shared, roots, 30).count() == 0
-    joined = roots.unionByName(spark.createDataFrame([(27, 27), (28, 27)], "node long, root long"))
-    assert nearcopies.rest(shared, joined, 16).count() == 0
+@pytest.mark.parametrize("most", [1, 3, 16])
+def test_runs_of_a_stream(most):
+    rnd = random.Random(most)
+    value = sorted(rnd.choice(range(12)) for _ in range(400)) + [20] * 90 + [21]
+    rows = list(zip(value, range(len(value)), strict=True))
+    cuts = sorted({0, len(rows), *(rnd.randrange(len(rows)) for _ in range(40))})
+    batches = [pa.RecordBatch.from_pydict({"v": [v for v, _ in rows[a:b]], "k": [k for _, k in rows[a:b]]}) for a, b in zip(cuts, cuts[1:], strict=False)]
+    count = Counter(value)
+    got, pairs = [], set()
+    for (v, k), n in nearcopies._sorted_runs(iter(batches), most):
+        got += list(zip(v.tolist(), k.tolist(), n.tolist(), strict=True))
+        for i, j in nearcopies._pairs(v, n, most):
+            pairs |= set(zip(k[i].tolist(), k[j].tolist(), strict=True))
+    assert got == [(v, k, min(count[v], most + 1)) for v, k in rows]
+    assert pairs == {(a, b) for (v, a), (w, b) in combinations(rows, 2) if v == w and count[v] <= most}
+
+
+def shingle_sets(rows):
+    return {i: {tuple(w[p : p + 5]) for p in range(max(1, len(w) - 4))} for i, t in rows if (w := (t or "").lower().split()) or True}
+
+
+def all_groups(rows, similarity=0.8):
+    """{doc_id: smallest doc_id of its group}, by all pairs."""
+    sets, parent = shingle_sets(rows), {i: i for i, _ in rows}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for (i, x), (j, y) in combinations(sorted(sets.items()), 2):
+        if min(len(x), len(y)) >= similarity * max(len(x), len(y)) and len(x & y) >= similarity * len(x | y):
+            a, b = sorted((find(i), find(j)))
+            parent[b] = a
+    return {i: find(i) for i in parent}
+
+
+def edited(rnd, words, n, name):
+    out = list(words)
+    for at in rnd.sample(range(len(words)), n):
+        out[at] = f"{name}{rnd.randrange(10**9)}"
+    return out
 
 
-def test_near_copies_in_a_template_group(spark):
+@pytest.mark.parametrize("bucket", [16, 2])
+def test_groups_equal_all_pairs(spark, bucket):
+    """Pairs at 0.80 to 0.95 alone, pairs in a crowd with common passages, and a family of copies of one text that are
+    alike to it but hardly to each other."""
     rnd, rows = random.Random(8), []
-    base = [f"t{n}" for n in range(300)]
-    for i in range(0, 120, 2):
-        w = base[:200] + [f"d{i}_{n}" for n in range(100)]
-        rows += [(i, " ".join(w)), (i + 1, " ".join(w[:-12] + [f"e{rnd.randrange(10**6)}" for _ in range(12)]))]
-    kept = {r.doc_id for r in nearcopies.groups(frame(spark, rows), bucket=1).where("key = keeper").join(frame(spark, rows).selectExpr("doc_id", "xxhash64(doc_id, text) AS key"), "key").collect()}
-    assert kept == set(range(0, 120, 2))
+    fresh = lambda n, name: [f"{name}{rnd.randrange(10**6)}" for _ in range(n)]
+    for i in range(60):
+        w = fresh(rnd.choice((40, 120, 400)), f"p{i}_")
+        rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(edited(rnd, w, max(1, len(w) // rnd.randrange(46, 90)), "e")))]
+    template = fresh(200, "t")
+    for i in range(60):
+        w = template + fresh(80, f"d{i}_")
+        rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(w[:-14] + fresh(14, "f")))]
+    base = fresh(300, "b")
+    rows += [(len(rows) + n, " ".join(edited(rnd, base, 4 if n else 0, f"c{n}_"))) for n in range(80)]
+    want = all_groups(rows)
+    got = nearcopies.groups(frame(spark, rows), bucket=bucket).collect()
+    ids = {r.key: r.doc_id for r in frame(spark, rows).selectExpr("doc_id", "xxhash64(doc_id, text) AS key").collect()}
+    found = {ids[r.key]: ids[r.keeper] for r in got}
+    links = {i for i, root in want.items() if root != i}
+    missed = {i for i in links if found[i] != want[i]}
+    assert len(links) > 150 and len(missed) <= 0.02 * len(links)
+    assert all(found[i] == i for i, root in want.items() if root == i)  # nothing that has no link goes
