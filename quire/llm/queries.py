@@ -148,24 +148,35 @@ _TEMPLATE = rf"""
       SELECT *, string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') AS ws FROM SOURCE)))"""
 
 OP7_SQL = (
-    "WITH d AS (" + _TEMPLATE.replace("SOURCE", "(SELECT DISTINCT doc_id, text FROM documents)") + "),\nb AS (" + _TEMPLATE.replace("SOURCE", "benchmark") + """),
-dw AS (SELECT doc_id, text, pos, array_to_string(canon[pos + 1:pos + 8], ' ') AS h FROM (SELECT doc_id, text, canon, unnest(range(0, greatest(len(canon) - 7, 0))) AS pos FROM d)),
-bw AS (SELECT DISTINCT item_id, pos, array_to_string(canon[pos + 1:pos + 8], ' ') AS h
-       FROM (SELECT item_id, canon, unnest(range(0, greatest(len(canon) - 7, 0))) AS pos FROM b)
-       WHERE len(list_filter(canon[pos + 1:pos + 8], lambda t: t <> '' AND NOT starts_with(t, '#'))) >= 5),
-runs AS (SELECT doc_id, text, item_id, dw.pos - bw.pos AS diag, list_sort(list(DISTINCT bw.pos)) AS places FROM dw JOIN bw USING (h) GROUP BY ALL),
+    "WITH d AS (" + _TEMPLATE.replace("SOURCE", "(SELECT DISTINCT doc_id, text FROM documents)") + "),\nb AS (SELECT row_number() OVER () AS row, * FROM (" + _TEMPLATE.replace("SOURCE", "benchmark") + """)),
+kinds AS (
+  SELECT row, item_id, false AS literal, canon AS toks, list_transform(canon, lambda t: CASE WHEN t <> '' AND NOT starts_with(t, '#') THEN 1 ELSE 0 END) AS flags FROM b
+  UNION ALL SELECT row, item_id, true, low, list_transform(low, lambda t: CASE WHEN t <> '' THEN 1 ELSE 0 END) FROM b),
+fit AS (
+  SELECT *, list_filter([8, 16, 32], lambda s: p + s <= len(toks) AND list_sum(flags[p + 1:p + s]) >= 5)[1] AS size
+  FROM (SELECT *, unnest(range(0, len(toks))) AS p FROM kinds)),
+bw AS (
+  SELECT DISTINCT item_id, literal, p AS pos, size, array_to_string(toks[p + 1:p + size], ' ') AS h FROM fit WHERE size IS NOT NULL
+  UNION SELECT item_id, literal, 0, len(toks), array_to_string(toks, ' ') FROM kinds
+    WHERE list_sum(flags) >= 3 AND (row, literal) NOT IN (SELECT row, literal FROM fit WHERE size IS NOT NULL)),
+dp AS (SELECT doc_id, text, canon, low, s.size, unnest(range(0, greatest(len(low) - s.size + 1, 0))) AS pos FROM d, (SELECT DISTINCT size FROM bw) s),
+dw AS (
+  SELECT doc_id, text, size, pos, false AS literal, array_to_string(canon[pos + 1:pos + size], ' ') AS h FROM dp
+  UNION ALL SELECT doc_id, text, size, pos, true, array_to_string(low[pos + 1:pos + size], ' ') FROM dp),
+hits AS (SELECT DISTINCT doc_id, text, item_id, literal, dw.pos - bw.pos AS diag, bw.pos, size FROM dw JOIN bw USING (literal, size, h)),
+runs AS (SELECT doc_id, text, item_id, diag, literal, list_sort(list_distinct(flatten(list(range(pos, pos + size))))) AS places FROM hits GROUP BY ALL),
+i AS (SELECT item_id, t.canon AS canon, t.low AS low FROM (SELECT item_id, min({'canon': canon, 'low': low}) AS t FROM b GROUP BY item_id)),
 slots AS (
-  SELECT r.doc_id, r.text, r.item_id, places, len(i.canon) AS n,
-    list_transform(list_filter(list_sort(list_distinct(flatten(list_transform(places, lambda p: range(p, p + 8))))), lambda x: starts_with(i.canon[x + 1], '#')),
+  SELECT r.doc_id, r.text, r.item_id, r.literal, places, len(i.canon) AS n,
+    list_transform(list_filter(places, lambda x: starts_with(i.canon[x + 1], '#')),
       lambda x: {'kind': i.canon[x + 1], 'item': i.low[x + 1], 'doc': d.low[x + diag + 1]}) AS pairs
-  FROM runs r JOIN d ON d.doc_id IS NOT DISTINCT FROM r.doc_id AND d.text = r.text JOIN (SELECT item_id, canon, low FROM b) i USING (item_id)),
+  FROM runs r JOIN d ON d.doc_id IS NOT DISTINCT FROM r.doc_id AND d.text = r.text JOIN i USING (item_id)),
 good AS (
   SELECT *, len(list_distinct(pairs)) AS n_slots, len(list_filter(pairs, lambda x: x.item <> x.doc)) > 0 AS changed FROM slots
-  WHERE len(list_distinct(list_transform(pairs, lambda x: [x.kind, x.item]))) = len(list_distinct(pairs))
-    AND len(list_distinct(list_transform(list_filter(pairs, lambda x: x.kind = '#name'), lambda x: x.doc))) = len(list_distinct(list_filter(pairs, lambda x: x.kind = '#name')))),
+  WHERE literal OR (len(list_distinct(list_transform(pairs, lambda x: [x.kind, x.item]))) = len(list_distinct(pairs))
+    AND len(list_distinct(list_transform(list_filter(pairs, lambda x: x.kind = '#name'), lambda x: x.doc))) = len(list_distinct(list_filter(pairs, lambda x: x.kind = '#name'))))),
 total AS (
-  SELECT doc_id, text, item_id, len(list_distinct(flatten(list(flatten(list_transform(places, lambda p: range(p, p + 8))))))) AS covered,
-    max(n) AS item_tokens, max(n_slots) AS slots, bool_or(changed) AS changed
+  SELECT doc_id, text, item_id, len(list_distinct(flatten(list(places)))) AS covered, max(n) AS item_tokens, max(n_slots) AS slots, bool_or(changed) AS changed
   FROM good GROUP BY doc_id, text, item_id)
 SELECT doc_id, item_id, CAST(covered AS BIGINT) AS covered, CAST(item_tokens AS BIGINT) AS item_tokens, CAST(slots AS BIGINT) AS slots, changed
 FROM total WHERE covered >= 13 OR covered >= 0.6 * item_tokens"""
