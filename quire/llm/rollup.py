@@ -3,15 +3,22 @@
 A rollup holds additive totals by source, language and tokenizer version. It is
 fed with batches of signed events: an insert adds a document and its tokens, a
 delete takes both away, a revision adds the difference between the new and the
-prior count. A batch is summed to one row a key, written under a fresh name, and
-published by creating a marker file that can be created once only: a batch that
-is sent again, or by two drivers at once, counts once, and one that dies before
-its marker counts not at all. Totals are the sum over published batches.
+prior count. A batch is summed to one row a key and written to a folder of its own;
+then an empty file named after the batch and that folder is created, which publishes
+it. Such a file is there whole or not at all, on any file system. A driver that dies
+before it leaves data that nobody reads, and the batch can be sent again. If a batch
+was sent twice, by two drivers at once even, it has two such files, and the totals
+read the one with the smaller name: a batch counts once, whoever wins.
+
+compact() sums all published batches into a base with the ids of its batches, publishes
+that in the same way and then deletes what the base holds; it can die at any step. One
+process may compact at a time, while others commit.
 
 Defined results. A null source, language or tokenizer is a key like any other. A
 null count is 0. An event whose kind is null or unknown adds nothing. Keys with
 no documents and no tokens left have no row. Repeated events of one batch each
-count; an empty batch is published and adds nothing. Other columns are not read.
+count; an empty batch is published and adds nothing. A batch sent again is known by its
+id alone. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -40,6 +47,9 @@ def deltas(events: DataFrame) -> DataFrame:
     return events.groupBy(*KEYS).agg(F.sum(docs).alias("n_docs"), F.sum(added).alias("n_tokens"))
 
 
+_TOTALS = "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint"
+
+
 class Rollup:
     """Totals under a folder on any file system that Spark writes to."""
 
@@ -47,46 +57,75 @@ class Rollup:
         self.spark, self.folder = spark, folder
         jvm = spark.sparkContext._jvm
         self._path = lambda name: jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-        self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()) if folder else None
-
-    def _published(self) -> dict[str, str]:
-        """Marker name: the data that it publishes."""
-        if not self._fs.exists(self._path("committed")):
-            return {}
-        jvm, found = self.spark.sparkContext._jvm, {}
-        for status in self._fs.listStatus(self._path("committed")):
-            stream = self._fs.open(status.getPath())
-            try:
-                found[status.getPath().getName()] = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-            finally:
-                stream.close()
+        self._fs = self._path("x").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _names(self, kind: str, pattern: str = "*@*") -> list[tuple[str, str]]:
+        """(what, folder) of the published files of a kind, sorted."""
+        found = self._fs.globStatus(self._path(f"{kind}/{pattern}"))
+        return sorted(tuple(status.getPath().getName().split("@")) for status in found or ())
+
+    def _publish(self, kind: str, what: str, folder: str) -> None:
+        self._fs.create(self._path(f"{kind}/{what}@{folder}"), True).close()
+
+    def _base(self) -> tuple[int, str | None]:
+        """(number, folder) of the latest base."""
+        found = self._names("bases")
+        return (int(found[-1][0]), found[-1][1]) if found else (0, None)
+
+    def _in_base(self, folder: str | None) -> DataFrame:
+        return self.spark.read.schema("batch string").parquet(f"{self.folder}/data/{folder}/batches") if folder else self.spark.createDataFrame([], "batch string")
+
+    def _batches(self, folder: str | None) -> dict[str, str]:
+        """{batch: its data} of what is published and not in the base: as many as were committed since compact()."""
+        found: dict[str, str] = {}
+        for batch, data in self._names("committed"):
+            found.setdefault(batch, data)
+        if found and folder:
+            names = self.spark.createDataFrame([(b,) for b in found], "batch string")
+            for r in names.join(self._in_base(folder), "batch", "left_semi").collect():
+                del found[r.batch]
         return found
 
+    @staticmethod
+    def _named(batch_id: str) -> str:
+        """A batch id as a file's name: only letters, digits, - and % are left, so no pattern or separator is in it."""
+        return quote(batch_id, safe="").replace("~", "%7E").replace(".", "%2E").replace("_", "%5F")
+
     def commit(self, batch_id: str, events: DataFrame) -> bool:
         """Add a batch; False if its id was committed before."""
-        marker = self._path(f"committed/{quote(batch_id, safe='')}")
-        if self._fs.exists(marker):
+        batch = self._named(batch_id)
+        if self._names("committed", f"{batch}@*") or not self._in_base(self._base()[1]).where(F.col("batch") == batch).isEmpty():
             return False
-        name = f"deltas/{uuid.uuid4().hex}"
-        deltas(events).write.parquet(f"{self.folder}/{name}")
-        try:
-            stream = self._fs.create(marker, False)
-        except Exception:
-            removed(self.spark, f"{self.folder}/{name}")
-            if self._fs.exists(marker):
-                return False
-            raise
-        stream.write(bytearray(name.encode()))
-        stream.close()
+        data = uuid.uuid4().hex
+        deltas(events).write.parquet(f"{self.folder}/data/{data}")
+        self._publish("committed", batch, data)
         return True
 
+    def _summed(self, base: str | None, batches: dict[str, str]) -> DataFrame:
+        paths = [f"{self.folder}/data/{x}" for x in batches.values()] + ([f"{self.folder}/data/{base}/totals"] if base else [])
+        parts = self.spark.read.schema(_TOTALS).parquet(*paths) if paths else self.spark.createDataFrame([], _TOTALS)
+        return parts.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 OR n_tokens <> 0")
+
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_tokens) over all published batches."""
-        names = [x for x in self._published().values() if x]
-        if not names:
-            return self.spark.createDataFrame([], "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint")
-        parts = self.spark.read.parquet(*[f"{self.folder}/{x}" for x in names])
-        return parts.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 OR n_tokens <> 0")
+        base = self._base()[1]
+        return self._summed(base, self._batches(base))
+
+    def compact(self) -> None:
+        """Sum what is published into a new base, and delete the files that it replaces."""
+        number, base = self._base()
+        batches, data = self._batches(base), uuid.uuid4().hex
+        self._summed(base, batches).write.parquet(f"{self.folder}/data/{data}/totals")
+        added = self.spark.createDataFrame([(b,) for b in batches], "batch string")
+        self._in_base(base).unionByName(added).write.parquet(f"{self.folder}/data/{data}/batches")
+        self._publish("bases", f"{number + 1:012d}", data)
+        for old, folder in self._names("bases")[:-1]:
+            self._fs.delete(self._path(f"bases/{old}@{folder}"), False)
+            removed(self.spark, f"{self.folder}/data/{folder}")
+        for batch, folder in self._names("committed"):
+            if batch in batches:
+                self._fs.delete(self._path(f"committed/{batch}@{folder}"), False)
+                removed(self.spark, f"{self.folder}/data/{folder}")
 
 
 def count_tokens(docs: DataFrame, path: str, pattern: str | None = None) -> DataFrame:

@@ -84,13 +84,87 @@ def test_rollup_counts_each_batch_once(spark, rows):
     assert sorted((x.source, x.lang, x.n_docs, x.n_tokens) for x in r.totals().collect()) == [("a", "en", 2, 14), ("c", "en", 1, 0)]
 
 
+def events_of(spark, n):
+    return spark.createDataFrame([("a", "en", "t", "insert", n, 0)], "source string, lang string, tokenizer string, kind string, tokens long, prior long")
+
+
+def total(r):
+    return [(x.n_docs, x.n_tokens) for x in r.totals().collect()]
+
+
+class Died(Exception):
+    pass
+
+
+@pytest.mark.parametrize("step", range(4))
+def test_rollup_survives_a_driver_that_dies_at_any_step(spark, monkeypatch, step):
+    """Step 0: in the write; 1: before it is published; 2: behind that; 3: with data half written."""
+    r = rollup.Rollup(spark, new_folder(spark, "test"))
+    r.commit("first", events_of(spark, 5))
+
+    def dies(*args):
+        raise Died
+
+    if step == 0:
+        monkeypatch.setattr(rollup, "deltas", dies)
+    if step in (1, 3):
+        monkeypatch.setattr(r, "_publish", dies)
+    if step == 3:
+        r._fs.mkdirs(r._path("data/half/_temporary"))
+    if step == 2:
+        assert r.commit("second", events_of(spark, 7))
+    else:
+        with pytest.raises(Died):
+            r.commit("second", events_of(spark, 7))
+        assert total(r) == [(1, 5)]
+    monkeypatch.undo()
+    again = rollup.Rollup(spark, r.folder)
+    assert again.commit("second", events_of(spark, 7)) == (step != 2)
+    assert total(again) == [(2, 12)] and not again.commit("second", events_of(spark, 7))
+
+
+def test_rollup_with_two_writers_of_a_batch(spark, monkeypatch):
+    r, other = (rollup.Rollup(spark, f) for f in [new_folder(spark, "test")] * 2)
+    publish = r._publish
+
+    def late(*args):
+        assert other.commit("same", events_of(spark, 7))
+        publish(*args)
+
+    monkeypatch.setattr(r, "_publish", late)
+    assert r.commit("same", events_of(spark, 7)) and len(r._names("committed")) == 2
+    assert total(r) == [(1, 7)] == total(other)
+    r.compact()
+    assert total(r) == [(1, 7)] and not r._names("committed") and not other.commit("same", events_of(spark, 7))
+
+
+def test_rollup_compacts_and_survives_it(spark, monkeypatch):
+    r = rollup.Rollup(spark, new_folder(spark, "test"))
+    r.compact()
+    assert total(r) == []
+    for n, name in enumerate(("a*b", "a@b", "a_.~?[x]")):
+        assert r.commit(name, events_of(spark, n)) and not r.commit(name, events_of(spark, n))
+    monkeypatch.setattr(rollup, "removed", lambda *a: (_ for _ in ()).throw(Died()))
+    with pytest.raises(Died):  # the base is published, nothing is deleted yet
+        r.compact()
+    monkeypatch.undo()
+    assert total(r) == [(3, 3)] and not r.commit("a@b", events_of(spark, 1))
+    r.commit("more", events_of(spark, 10))
+    r.compact()
+    r.compact()
+    assert total(rollup.Rollup(spark, r.folder)) == [(4, 13)] and len(r._names("bases")) == 1
+    assert not r.commit("a*b", events_of(spark, 0)) and not r.commit("more", events_of(spark, 1))
+
+
 def test_rollup_query_equals_plain_counts(spark, data):
+    from tokenizers import Tokenizer
+
     docs = spark.read.parquet(f"{data}/documents.parquet").collect()
-    tree = bpe.loaded(queries.tokenizer("byte_bpe_50k.json"), queries.pattern())
+    lib = Tokenizer.from_file(queries.tokenizer("byte_bpe_50k.json"))
     want: dict = {}
-    for r, ids in zip(docs, tree.encode([r.text for r in docs]), strict=True):
+    for r in docs:
         n = len(WORD.findall(r.text or ""))
-        for name, k in (("words-1", n), ("byte_bpe_50k", len(ids))) if n else ():
+        for name, k in (("words-1", n), ("byte_bpe_50k", len(lib.encode(r.text or "", add_special_tokens=False).ids))) if n else ():
             a, b = want.get((r.source, r.lang, name), (0, 0))
             want[r.source, r.lang, name] = (a + 1, b + k)
     got = {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in queries.op2_token_rollups(spark, data).collect()}
