@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quire.functions.base import once
+
 INF = float("inf")
 
 
@@ -100,28 +102,39 @@ def signed_area(q: Column) -> Column:
 
 
 def envelope(q: Column) -> Column:
-    xs, ys = F.array(*[_x(q, i) for i in range(4)]), F.array(*[_y(q, i) for i in range(4)])
-    return F.when(q.isNotNull(), box(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)))
+    xs, ys = (lambda q: F.array(*[_x(q, i) for i in range(4)])), (lambda q: F.array(*[_y(q, i) for i in range(4)]))
+    return F.when(q.isNotNull(), once(q, lambda q: box(F.array_min(xs(q)), F.array_min(ys(q)), F.array_max(xs(q)), F.array_max(ys(q)))))
 
 
 def ordered_quad(q: Column) -> Column:
     """The corners from the first with the least x + y on, turned clockwise."""
-    double = sum((_x(q, i) * _y(q, i + 1) - _x(q, i + 1) * _y(q, i) for i in range(1, 4)), _x(q, 0) * _y(q, 1) - _x(q, 1) * _y(q, 0))
-    first = F.array_min(F.array(*[F.struct((_x(q, i) + _y(q, i)).alias("s"), F.lit(i).alias("i")) for i in range(4)]))["i"]
-    at = lambda k: (F.get(q, F.pmod(first + F.when(double >= 0, k).otherwise(-k), F.lit(4)) * 2), F.get(q, F.pmod(first + F.when(double >= 0, k).otherwise(-k), F.lit(4)) * 2 + 1))
-    return F.array(*[v for k in range(4) for v in at(k)])
+
+    def turned(x: Column) -> Column:
+        q = x["q"]
+        double = sum((_x(q, i) * _y(q, i + 1) - _x(q, i + 1) * _y(q, i) for i in range(1, 4)), _x(q, 0) * _y(q, 1) - _x(q, 1) * _y(q, 0))
+        first = F.array_min(F.array(*[F.struct((_x(q, i) + _y(q, i)).alias("s"), F.lit(i).alias("i")) for i in range(4)]))["i"]
+        return once(F.struct(q.alias("q"), first.alias("first"), F.when(double >= 0, 1).otherwise(-1).alias("step")), picked)
+
+    def picked(x: Column) -> Column:
+        at = lambda k: F.pmod(x["first"] + x["step"] * k, F.lit(4)) * 2
+        return F.array(*[F.get(x["q"], at(k) + c) for k in range(4) for c in (0, 1)])
+
+    return F.when(q.isNotNull(), once(F.struct(q.alias("q")), turned))
 
 
 def rotated_quad(cx: Column, cy: Column, w: Column, h: Column, angle: Column) -> Column:
     """The corners of a rectangle turned by angle degrees; null if a number is not finite or a side not positive."""
-    r = F.radians(angle)
-    cos, sin = F.cos(r), F.sin(r)
-    corners = []
-    for sx, sy in ((-0.5, -0.5), (0.5, -0.5), (0.5, 0.5), (-0.5, 0.5)):
-        dx, dy = w * sx, h * sy
-        corners += [cx + dx * cos - dy * sin, cy + dx * sin + dy * cos]
+
+    def corners(r: Column) -> Column:
+        out = []
+        for sx, sy in ((-0.5, -0.5), (0.5, -0.5), (0.5, 0.5), (-0.5, 0.5)):
+            dx, dy = r["w"] * sx, r["h"] * sy
+            out += [r["cx"] + dx * r["cos"] - dy * r["sin"], r["cy"] + dx * r["sin"] + dy * r["cos"]]
+        return ordered_quad(F.array(*out))
+
     ok = finite(cx) & finite(cy) & finite(w) & finite(h) & finite(angle) & (w > 0) & (h > 0)
-    return F.when(ok, ordered_quad(F.array(*corners)))
+    parts = F.struct(cx.alias("cx"), cy.alias("cy"), w.alias("w"), h.alias("h"), F.cos(F.radians(angle)).alias("cos"), F.sin(F.radians(angle)).alias("sin"))
+    return F.when(ok, once(parts, corners))
 
 
 def _centreline(q: Column) -> dict[str, Column]:
@@ -142,11 +155,14 @@ def line_struct(left: Column, right: Column, cy: Column, slope: Column, h: Colum
 def quad_line(q: Column) -> Column:
     """A quadrilateral's line, or null if it has no length, no area or is steeper than 45 degrees."""
     ends = _centreline(q)
-    a, b = ends["left"], ends["right"]
-    dx, dy, size = b["x"] - a["x"], b["y"] - a["y"], F.abs(signed_area(q))
-    ok = is_quad(q) & (dx > 0) & (F.abs(dy) <= dx) & (size > 0)
-    safe = F.nullif(dx, F.lit(0.0))
-    return F.when(ok, line_struct(a["x"], b["x"], (a["y"] + b["y"]) / 2, dy / safe, F.greatest(F.lit(1.0), size / safe)))
+
+    def line(e: Column) -> Column:
+        a, b, size = e["a"], e["b"], e["size"]
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        safe = F.nullif(dx, F.lit(0.0))
+        return F.when((dx > 0) & (F.abs(dy) <= dx) & (size > 0), line_struct(a["x"], b["x"], (a["y"] + b["y"]) / 2, dy / safe, F.greatest(F.lit(1.0), size / safe)))
+
+    return F.when(is_quad(q), once(F.struct(ends["left"].alias("a"), ends["right"].alias("b"), F.abs(signed_area(q)).alias("size")), line))
 
 
 def box_line(b: Column) -> Column:
@@ -156,12 +172,15 @@ def box_line(b: Column) -> Column:
 def block_line(q: Column, b: Column) -> Column:
     """A block's line: from its quadrilateral where that is usable, else from its box."""
     ends = _centreline(q)
-    dx, dy = ends["right"]["x"] - ends["left"]["x"], ends["right"]["y"] - ends["left"]["y"]
-    ok = is_quad(q) & (dx > 0) & (F.abs(dy) <= dx)
-    safe = F.nullif(dx, F.lit(0.0))
-    a, c = ends["left"], ends["right"]
-    own = line_struct(a["x"], c["x"], (a["y"] + c["y"]) / 2, dy / safe, F.greatest(F.lit(1.0), F.abs(signed_area(q)) / safe))
-    return F.when(ok, own).otherwise(box_line(b))
+
+    def line(e: Column) -> Column:
+        a, c = e["a"], e["c"]
+        dx, dy = c["x"] - a["x"], c["y"] - a["y"]
+        safe = F.nullif(dx, F.lit(0.0))
+        return F.when((dx > 0) & (F.abs(dy) <= dx), line_struct(a["x"], c["x"], (a["y"] + c["y"]) / 2, dy / safe, F.greatest(F.lit(1.0), e["size"] / safe)))
+
+    own = F.when(is_quad(q), once(F.struct(ends["left"].alias("a"), ends["right"].alias("c"), F.abs(signed_area(q)).alias("size")), line))
+    return F.coalesce(own, box_line(b))
 
 
 def y_at(line: Column, x: Column) -> Column:
@@ -170,20 +189,23 @@ def y_at(line: Column, x: Column) -> Column:
 
 def unit_lines(quads: Column, b: Column, members: Column) -> Column:
     """A unit's lines by centre, then left; without usable quadrilaterals, equal bands of its box."""
-    own = F.array_sort(F.filter(F.transform(quads, quad_line), lambda x: x.isNotNull()), lambda p, q: F.when(p["center_y"] < q["center_y"], -1).when(p["center_y"] > q["center_y"], 1).when(p["left"] < q["left"], -1).when(p["left"] > q["left"], 1).otherwise(0))
+    by_place = lambda p, q: F.when(p["center_y"] < q["center_y"], -1).when(p["center_y"] > q["center_y"], 1).when(p["left"] < q["left"], -1).when(p["left"] > q["left"], 1).otherwise(0)
+    own = F.array_sort(F.filter(F.transform(quads, quad_line), lambda x: x.isNotNull()), by_place)
     n = F.greatest(F.lit(1), F.size(members))
     band = F.greatest(F.lit(1.0), height(b) / n)
     bands = F.transform(F.sequence(F.lit(0), n - 1), lambda i: line_struct(b["x1"], b["x2"], b["y1"] + (i + 0.5) * band, F.lit(0.0), band))
-    return F.when(F.size(own) > 0, own).otherwise(bands)
+    return once(own, lambda o: F.when(F.size(o) > 0, o).otherwise(bands))
 
 
 def flow_bounds(category: Column, quads: Column, b: Column, members: Column) -> Column:
     """The box that orders a unit: its lines' extent for running text and formulas with quadrilaterals, else its box."""
-    lines = unit_lines(quads, b, members)
-    least = lambda f: F.array_min(F.transform(lines, f))
-    most = lambda f: F.array_max(F.transform(lines, f))
-    flow = box(least(lambda x: x["left"]), least(lambda x: x["center_y"] - x["height"] / 2), most(lambda x: x["right"]), most(lambda x: x["center_y"] + x["height"] / 2))
-    return F.when(category.isin("text", "unknown", "math") & (F.size(quads) > 0), flow).otherwise(b)
+
+    def extent(lines: Column) -> Column:
+        least = lambda f: F.array_min(F.transform(lines, f))
+        most = lambda f: F.array_max(F.transform(lines, f))
+        return box(least(lambda x: x["left"]), least(lambda x: x["center_y"] - x["height"] / 2), most(lambda x: x["right"]), most(lambda x: x["center_y"] + x["height"] / 2))
+
+    return F.when(category.isin("text", "unknown", "math") & (F.size(quads) > 0), once(unit_lines(quads, b, members), extent)).otherwise(b)
 
 
 def should_merge(a: Column, b: Column, w, h, category: Column) -> Column:
@@ -260,3 +282,63 @@ def denormalise(v: Column, w, h, normalized: Column) -> Column:
     e = F.when(ok, box(g(0) - dx, g(1) - dy, g(0) + dx, g(1) + dy))
     five = F.when(normalized, box(e["x1"] * w / 1000, e["y1"] * h / 1000, e["x2"] * w / 1000, e["y2"] * h / 1000)).otherwise(e)
     return F.when(F.size(v) == 4, four).when(F.size(v) == 8, envelope(v)).when(F.size(v) == 5, five)
+
+
+#: Fixed values of a contact sheet: its widest crop and padding, the band for a label, the narrowest sheet.
+WIDEST, PAD, LABEL, NARROWEST = 1600, 8, 26, 320
+BAND = LABEL + 2 * PAD
+
+
+def sheet_size(w: Column, h: Column, most: int) -> Column:
+    """struct<w, h>: the size at which a crop goes on a contact sheet of at most `most` pixels."""
+    least = lambda v: F.greatest(F.lit(1), v.cast("int"))
+    narrow = F.least(F.lit(1.0), F.lit(float(WIDEST - 2 * PAD)) / F.greatest(F.lit(1), w))
+    fit = F.struct(least(F.bround(w * narrow, 0)).alias("w"), least(F.bround(h * narrow, 0)).alias("h"))
+    area = sheet_pixels(fit["w"], fit["h"] + BAND)
+    shrink = F.sqrt(F.lit(float(most)) / area) * 0.95
+    return F.when(area > most, F.struct(least(F.floor(fit["w"] * shrink)).alias("w"), least(F.floor(fit["h"] * shrink)).alias("h"))).otherwise(fit)
+
+
+def sheet_pixels(widest: Column, stacked: Column) -> Column:
+    """Pixels of a sheet of crops up to `widest` wide, of this height with their bands."""
+    return F.greatest(F.lit(NARROWEST), widest + 2 * PAD) * stacked
+
+
+def line_height(quads: Column, b: Column, w, h) -> Column:
+    """Median thickness of a unit's usable line quadrilaterals, cut to the page; its box's height if there are none."""
+    side = lambda q, i: F.hypot(_x(q, i + 1) - _x(q, i), _y(q, i + 1) - _y(q, i))
+    cut = lambda q: F.transform(q, lambda v, i: F.greatest(F.lit(0.0), F.least(F.when(i % 2 == 0, _num(w)).otherwise(_num(h)), v)))
+    thin = lambda q: F.least((side(q, 0) + side(q, 2)) / 2, (side(q, 1) + side(q, 3)) / 2)
+    usable = F.filter(F.coalesce(quads, F.array().cast("array<array<double>>")), lambda q: quad_valid(q, w, h))
+    middle = lambda f, i: F.get(f, F.floor((F.size(f) + i) / 2).cast("int"))
+    found = F.array_sort(F.transform(usable, lambda q: once(cut(q), thin)))
+    return once(found, lambda f: F.when(F.size(f) > 0, (middle(f, -1) + middle(f, 0)) / 2).otherwise(height(b)))
+
+
+def review_window(b: Column, line: Column, w, h, padding: float = 8) -> Column:
+    """struct<window, target>: the box with a line's room around it, 4 % of the page at most, and where the box lies in
+    it; null for a box that is empty or not finite."""
+    w, h = _num(w), _num(h)
+
+    def around(x: Column) -> Column:
+        target, room = x["target"], x["room"]
+        px, py = F.least(room, 0.04 * w), F.least(room, 0.04 * h)
+        return F.struct(target.alias("target"), box(F.greatest(F.lit(0.0), F.floor(target["x1"] - px)), F.greatest(F.lit(0.0), F.floor(target["y1"] - py)), F.least(w, F.ceil(target["x2"] + px)), F.least(h, F.ceil(target["y2"] + py))).alias("window"))
+
+    def rebased(x: Column) -> Column:
+        target, window = x["target"], x["window"]
+        inside = box(target["x1"] - window["x1"], target["y1"] - window["y1"], target["x2"] - window["x1"], target["y2"] - window["y1"])
+        return F.when((width(target) > 0) & (height(target) > 0) & (width(window) > 0) & (height(window) > 0), F.struct(window.alias("window"), inside.alias("target")))
+
+    ok = finite(b["x1"]) & finite(b["y1"]) & finite(b["x2"]) & finite(b["y2"])
+    room = F.greatest(F.lit(0.0), F.lit(float(padding)), 1.25 * line)
+    return F.when(ok, once(once(F.struct(clamp(b, w, h).alias("target"), room.alias("room")), around), rebased))
+
+
+def sheet_target(target: Column, source: Column, size: Column, top: Column) -> Column:
+    """Where a target in its crop lies on the sheet, on which the crop is pasted in this size below `top`; the whole crop
+    without a source box."""
+    x = lambda v: F.lit(float(PAD)) + v / F.nullif(width(source), F.lit(0.0)) * size["w"]
+    y = lambda v: top + v / F.nullif(height(source), F.lit(0.0)) * size["h"]
+    whole = box(F.lit(float(PAD)), top, F.lit(float(PAD)) + size["w"], top + size["h"])
+    return F.when((width(source) > 0) & (height(source) > 0), box(x(target["x1"]), y(target["y1"]), x(target["x2"]), y(target["y2"]))).otherwise(whole)

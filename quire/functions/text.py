@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quire.functions.base import once
+
 #: Fixed values.
 MATH_WORDS_SHORT = ("sin", "cos", "tan", "cot", "sec", "csc", "log", "lim", "exp", "max", "min", "det", "mod")
 MATH_WORDS = (
@@ -123,10 +125,11 @@ def prose_words(s: Column) -> Column:
 
 def escape_tex(s: Column) -> Column:
     """The ten special characters, all at once."""
-    out = F.replace(s, F.lit("\\"), F.lit("\x01"))
+    # what stands for a backslash meanwhile, and that character itself
+    out = F.replace(F.replace(s, F.lit("\x01"), F.lit("\x01a")), F.lit("\\"), F.lit("\x01b"))
     for c in "{}&%$#_":
         out = F.replace(out, F.lit(c), F.lit(TEX_ESCAPES[c]))
-    for c, to in (("\x01", TEX_ESCAPES["\\"]), ("~", TEX_ESCAPES["~"]), ("^", TEX_ESCAPES["^"])):
+    for c, to in (("\x01b", TEX_ESCAPES["\\"]), ("~", TEX_ESCAPES["~"]), ("^", TEX_ESCAPES["^"]), ("\x01a", "\x01")):
         out = F.replace(out, F.lit(c), F.lit(to))
     return out
 
@@ -169,18 +172,26 @@ def pipe_rows(s: Column) -> Column:
 
 
 def unescape_html(s: Column) -> Column:
-    """The five named references of markup; the ampersand last."""
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&nbsp;", "\xa0"), ("&amp;", "&")):
-        s = F.replace(s, F.lit(name), F.lit(char))
+    """The five named references of markup, the hard space, and numeric ones up to U+FFFF; the ampersand last."""
+    code = lambda p: F.coalesce(F.conv(F.regexp_extract(p, r"^[xX]([0-9A-Fa-f]{1,4});", 1), 16, 10).try_cast("int"), F.regexp_extract(p, r"^(\d{1,5});", 1).try_cast("int"))
+    char = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 4, "0")), "UTF-16BE")
+    piece = lambda p, i: F.when((i > 0) & code(p).between(1, 0xD7FF), F.concat(char(code(p)), F.regexp_replace(p, r"^[^;]*;", ""))).when(i > 0, F.concat(F.lit("&#"), p)).otherwise(p)
+    s = F.when(F.contains(s, F.lit("&#")), F.array_join(F.transform(F.split(s, "&#", -1), piece), "")).otherwise(s)
+    for name, char_ in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\xa0"), ("&amp;", "&")):
+        s = F.replace(s, F.lit(name), F.lit(char_))
     return s
 
 
 def tabular(rows: Column) -> Column:
     """A ruled tabular, short rows padded; empty for no rows."""
-    n = F.coalesce(F.array_max(F.transform(rows, F.size)), F.lit(0))
-    row = lambda r: F.array_join(F.transform(F.concat(r, F.array_repeat(F.lit(""), F.greatest(F.lit(0), n - F.size(r)))), lambda c: escape_tex(unescape_html(c))), " & ")
-    body = F.array_join(F.transform(rows, row), " \\\\ \\hline\n")
-    return F.when(F.size(rows) > 0, F.concat(F.lit("\\begin{tabular}{|"), F.repeat(F.lit("l|"), n), F.lit("}\n\\hline\n"), body, F.lit(" \\\\ \\hline\n\\end{tabular}"))).otherwise("")
+
+    def filled(rows: Column, n: Column) -> Column:
+        cells = lambda r: F.concat(r, F.array_repeat(F.lit(""), F.greatest(F.lit(0), n - F.size(r))))
+        row = lambda r: F.array_join(F.transform(cells(r), lambda c: escape_tex(unescape_html(c))), " & ")
+        body = F.array_join(F.transform(rows, row), " \\\\ \\hline\n")
+        return F.concat(F.lit("\\begin{tabular}{|"), F.repeat(F.lit("l|"), n), F.lit("}\n\\hline\n"), body, F.lit(" \\\\ \\hline\n\\end{tabular}"))
+
+    return once(rows, lambda r: F.when(F.size(r) > 0, once(F.array_max(F.transform(r, F.size)), lambda n: filled(r, n))).otherwise(""))
 
 
 def asset_id(s: Column) -> Column:

@@ -14,10 +14,27 @@ from quire.functions import text as X
 THRESHOLD = 0.55
 
 
+def rescue_needed(score: Column, asked: Column, threshold: float = THRESHOLD) -> Column:
+    """Whether the stronger reader is called: as a router says, else by the score."""
+    return F.coalesce(asked, score < threshold)
+
+
+def ledger(units: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, provider, usage): a row for each call of cascade()'s units (calls, and <call>_usage for each call, as
+    JSON text), whether or not its text was taken. A usage object that names a provider is booked to that."""
+    own = {"ocr": "qwen_ocr", "math": "qwen_ocr", "rescue": "qwen_rescue"}
+    usage = lambda c: F.col(f"{c}_usage") if f"{c}_usage" in units.columns else F.lit("{}")
+    paid = F.array(*[F.struct(F.lit(c).alias("call"), F.lit(p).alias("provider"), F.coalesce(usage(c), F.lit("{}")).alias("usage")) for c, p in own.items()])
+    each = units.select(*keys, F.posexplode(F.filter(paid, lambda x: F.array_contains("calls", x["call"]))).alias("n", "x"))
+    named = F.try_variant_get(F.try_parse_json("x.usage"), "$.provider", "string")
+    return each.select(*keys, F.col("n").cast("long").alias("n"), F.coalesce(named, "x.provider").alias("provider"), F.col("x.usage").alias("usage"))
+
+
 def cascade(units: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """units (id, category, crop_path, hint, ocr, math, rescue) with decoded, category, decoder, score, rescued, calls.
 
-    ocr, math and rescue are what the calls return, or null where a call fails. Figures and unknown units are kept as
+    ocr, math and rescue are what the calls return, or null where a call fails; <call>_error says why, <call>_usage what it
+    cost, and rescue_asked what a router wants, if the units have such columns. Figures and unknown units are kept as
     they are; a text with a good hint needs no call; a text that looks like mathematics is read again as a formula, and
     a tie takes it; a score below the threshold calls the rescue, and a tie takes that.
     """
@@ -32,10 +49,13 @@ def cascade(units: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     s = s.withColumn("as_math", F.col("try_math") & F.col("math").isNotNull() & (F.col("ms") >= F.col("s1")))
     s = s.withColumns({"c2": F.when(F.col("as_math"), "math").otherwise(F.col("category")), "t2": F.when(F.col("as_math"), F.col("math")).otherwise(F.col("t1")), "s2": F.when(F.col("as_math"), F.col("ms")).otherwise(F.col("s1"))})
     failed = F.col("ocr").isNull() | (F.col("try_math") & F.col("math").isNull())
-    s = s.withColumns({"ask": (F.col("step") == "call") & (F.col("s2") < threshold), "rs": score(F.col("c2"), F.col("rescue"))})
+    has = lambda c, kind: F.col(c) if c in units.columns else F.lit(None).cast(kind)
+    why = F.coalesce(F.when(F.col("ocr").isNull(), has("ocr_error", "string")).otherwise(has("math_error", "string")), F.lit(""))
+    error = F.when(why == "", "error").otherwise(F.concat(F.lit("error:"), F.substring_index(why, ":", 1)))
+    s = s.withColumns({"ask": (F.col("step") == "call") & rescue_needed(F.col("s2"), has("rescue_asked", "boolean"), threshold), "rs": score(F.col("c2"), F.col("rescue"))})
     s = s.withColumn("rescued", F.col("ask") & F.col("rescue").isNotNull() & (F.col("rs") >= F.col("s2")))
     by = lambda keep, none, hint_, call: F.when(F.col("step") == "keep", keep).when(F.col("step") == "none", none).when(F.col("step") == "hint", hint_).otherwise(call)
-    decoder = F.when(F.col("rescued"), F.concat(F.lit("rescue:"), "c2")).when(failed, "error").when(F.col("as_math"), "ocr:math-auto").otherwise(F.concat(F.lit("ocr:"), "category"))
+    decoder = F.when(F.col("rescued"), F.concat(F.lit("rescue:"), "c2")).when(failed, error).when(F.col("as_math"), "ocr:math-auto").otherwise(F.concat(F.lit("ocr:"), "category"))
     calls = F.array_compact(F.array(F.when(F.col("ocr").isNotNull(), "ocr"), F.when(F.col("try_math") & F.col("math").isNotNull(), "math"), F.when(F.col("ask") & F.col("rescue").isNotNull(), "rescue")))
     return s.select(
         "id",
@@ -45,6 +65,7 @@ def cascade(units: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         by(F.lit(1.0), F.lit(0.0), F.col("hint_score"), F.when(F.col("rescued"), F.col("rs")).otherwise(F.col("s2"))).alias("score"),
         F.col("rescued"),
         F.when(F.col("step") == "call", calls).otherwise(F.array().cast("array<string>")).alias("calls"),
+        *(c for c in ("ocr_usage", "math_usage", "rescue_usage") if c in units.columns),
     )
 
 

@@ -1,9 +1,9 @@
 """Registered queries over the library's operators, and the same in SQL."""
 
-from quire.plans import kernels, relational, scalars
+from quire.plans import kernels, relational, scalars, structure
 from quire.plans.registry import ORACLES, QUERIES
 
-__all__ = ["oracles", "queries", "kernels", "relational", "scalars"]
+__all__ = ["oracles", "queries", "kernels", "relational", "scalars", "structure"]
 
 
 def queries():

@@ -94,6 +94,47 @@ FROM @documents d LEFT JOIN @labels l ON d.doc_id = l.doc_id WHERE d.doc_id % 5
     "prose": """
 SELECT conv_id AS page, turn AS ord, concat('u', lpad(CAST(turn AS STRING), 4, '0')) AS id, CASE WHEN turn % 5 = 3 THEN 'math' WHEN turn % 5 = 4 THEN 'table' WHEN (conv_id + turn) % 7 = 0 THEN 'unknown' ELSE 'text' END AS category, text,
   CAST(60 + 30 * (length(text) % 2) AS DOUBLE) AS x1, CAST(60 + 40 * turn AS DOUBLE) AS y1, CAST(560 + length(text) % 300 AS DOUBLE) AS x2, CAST(60 + 40 * turn + 20 + length(text) % 13 AS DOUBLE) AS y2 FROM @conversations""",
+    # units of documents: four conversations make one, a conversation is a page, a turn a unit
+    "notes": """
+SELECT (conv_id - conv_id % 4) / 4 AS doc, conv_id AS page, turn AS ord, concat('p', lpad(CAST(conv_id AS STRING), 4, '0'), '_U', lpad(CAST(turn AS STRING), 4, '0')) AS id,
+  CASE (conv_id + 3 * turn) % 11 WHEN 3 THEN 'math' WHEN 7 THEN 'table' WHEN 9 THEN 'figure' WHEN 10 THEN 'unknown' ELSE 'text' END AS category,
+  CASE (conv_id + 3 * turn) % 11
+    WHEN 3 THEN CASE turn % 5 WHEN 0 THEN concat('$$x_', CAST(turn AS STRING), ' = ', CAST(length(text) AS STRING), '$$') WHEN 1 THEN concat('@bsbegin{align*}a_', CAST(turn AS STRING), '@bsend{align*}') WHEN 2 THEN concat('```latex', chr(10), '@bsfrac{a}{', CAST(turn AS STRING), '}', chr(10), '```') WHEN 3 THEN '' ELSE concat('@bs[y^', CAST(turn AS STRING), '@bs] $z$') END
+    WHEN 7 THEN CASE turn % 4 WHEN 0 THEN concat('| a | ', CAST(turn AS STRING), ' & |', chr(10), '|---|---|', chr(10), '| c |') WHEN 1 THEN concat('<table><tr><td>n</td><td>', CAST(turn AS STRING), ' &lt; 5</td></tr></table>') WHEN 2 THEN 'no table' ELSE concat('@bsbegin{tabular}{l}', CAST(turn AS STRING), '@bsend{tabular}') END
+    ELSE CASE (2 * conv_id + turn) % 10 WHEN 0 THEN concat('# ', flat) WHEN 1 THEN concat('- a', chr(10), '* ', flat, chr(10), 'goes on') WHEN 2 THEN concat('costs $', CAST(turn AS STRING), ' and $', CAST(length(text) AS STRING), ' for ', flat) WHEN 3 THEN concat(flat, ' with $x_', CAST(turn AS STRING), '$ inside, and **bold $b$ words**')
+      WHEN 4 THEN concat(CAST(3 + turn AS STRING), '. ', flat, chr(10), CAST(4 + turn AS STRING), ') two', chr(10), '- three') WHEN 5 THEN concat(flat, chr(10), chr(10), '  **bold** & 50%  of ', chr(9), ' it', chr(10), '### end {x}') WHEN 6 THEN '' WHEN 7 THEN concat('```markdown', chr(10), flat, chr(10), 'more of it', chr(10), '```')
+      WHEN 8 THEN concat('$$a_', CAST(turn AS STRING), '$$', chr(10), flat) ELSE flat END END AS content,
+  CASE WHEN (conv_id + turn) % 5 = 2 THEN '' ELSE concat('crops/', CAST(conv_id AS STRING), '/u', CAST(turn AS STRING), CASE WHEN turn % 2 = 0 THEN '.PNG' ELSE '.png' END) END AS crop_path,
+  CASE (conv_id + turn) % 6 WHEN 0 THEN 'uncertain' WHEN 1 THEN 'not_reviewed' WHEN 2 THEN 'corrected' WHEN 3 THEN 'not_applicable' ELSE 'verified' END AS status, (conv_id + turn) % 6 = 1 AND conv_id % 3 = 0 AS mark_pdf,
+  CASE WHEN (7 * conv_id + turn) % 13 = 5 THEN 'leader' WHEN turn % 2 = 0 THEN '' END AS merged_into,
+  CASE WHEN (conv_id + 2 * turn) % 17 = 3 THEN concat('b', CAST(turn AS STRING), '_residual') ELSE concat('b', CAST(turn AS STRING)) END AS member,
+  CASE (conv_id + turn) % 19 WHEN 4 THEN 'whole_page_no_text' WHEN 5 THEN 'residual_background' ELSE 'text' END AS source_label,
+  CAST(60 + 30 * (length(text) % 2) AS DOUBLE) AS x1, CAST(60 + 40 * turn AS DOUBLE) AS y1, CAST(560 + length(text) % 300 AS DOUBLE) AS x2, CAST(60 + 40 * turn + 20 + length(text) % 13 AS DOUBLE) AS y2
+FROM (SELECT conv_id, turn, text, replace(text, chr(10), ' ') AS flat FROM @conversations) t""",
+    # responses of layout models in six shapes
+    "responses": """
+SELECT id, n,
+  CASE id % 6 WHEN 0 THEN concat('{"a": [{"b": {"words_info": [{"location": [', n, ', 0, ', m, ', 0, ', m, ', 5, ', n, ', 5], "text": " w', n, ' "}, "no object"]}}], "words_info": null, "usage": {"input_tokens": 3}}') ELSE '{"choices": []}' END AS raw,
+  CASE id % 6 WHEN 1 THEN concat('{"words_info": [{"location": [', n, ', 0, ', m, ', 0, ', m, ', 5, ', n, ', 5], "word": "w', n, '", "category": " Formula "}]}')
+    WHEN 2 THEN concat('{"pos_list": [{"rotate_rect": [', n, ', 2, 3, 4, 5]}, {"rotate_rect": [', n, ', 2, 3, 4, 5]}], "x": [{"bbox": [1, 2, 3, ', n, ']}]}')
+    WHEN 3 THEN concat(n, ',10,20,10,0', chr(10), n, ', 50,20,10,0')
+    WHEN 4 THEN concat('```json', chr(10), '{"words_info": [], "deep": [{"location": [', n, ', 0, ', m, ', 0, ', m, ', 5, ', n, ', 5]}]}', chr(10), '```') WHEN 5 THEN 'no layout at all' ELSE '' END AS text
+FROM (SELECT event_id AS id, CAST(event_id % 990 AS STRING) AS n, CAST(event_id % 990 + 9 AS STRING) AS m FROM @events) t""",
+    # drafts of a review batch: the blocks of a page that aren't figures, in two pages
+    "drafts": """
+SELECT batch, id, id AS ord, CASE WHEN id < 4 THEN 0 ELSE 1 END AS page, CASE WHEN pk % 4 = 0 THEN 'math' WHEN pk % 4 = 3 AND sk % 3 = 0 THEN 'table' ELSE 'text' END AS category,
+  CASE pk % 6 WHEN 0 THEN concat('a = ', CAST(pk AS STRING)) WHEN 1 THEN concat('@bsfrac{', CAST(pk AS STRING), '}{2}') WHEN 2 THEN 'some plain words of prose' WHEN 3 THEN 'so $x$ holds for continuous maps' WHEN 4 THEN concat('x_', CAST(pk AS STRING)) ELSE 'is = it' END AS decoded,
+  x1, y1, x2, y2
+FROM (SELECT l_orderkey AS batch, l_partkey AS pk, l_suppkey AS sk, CAST(60 + 480 * (l_suppkey % 2) AS DOUBLE) AS x1, CAST(40 + 40 * CAST(l_linenumber AS BIGINT) + l_partkey % 7 AS DOUBLE) AS y1, CAST(60 + 480 * (l_suppkey % 2) + 300 + l_partkey % 140 AS DOUBLE) AS x2,
+  CAST(40 + 40 * CAST(l_linenumber AS BIGINT) + l_partkey % 7 + 24 AS DOUBLE) AS y2, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) - 1 AS id FROM @lineitem) t""",
+    # records of a review batch: most drafts have one, some name two sources
+    "claims": """
+SELECT batch, id, pk, CASE WHEN pk % 5 < 2 THEN id + 1 WHEN pk % 31 = 7 THEN id + 2 WHEN pk % 29 = 5 THEN id WHEN pk % 23 = 4 THEN id - 1 END AS second,
+  CASE WHEN pk % 41 = 9 THEN 'figure' WHEN sk % 4 = 0 THEN 'math' WHEN sk % 17 = 3 THEN 'table' ELSE 'text' END AS category, CASE WHEN q % 7 = 0 THEN 'uncertain' WHEN q % 7 = 1 THEN 'verified' WHEN q % 43 = 2 THEN 'odd' ELSE 'corrected' END AS status,
+  CASE WHEN (pk + sk) % 13 = 6 THEN 0 ELSE 1 END AS n_issues,
+  CASE WHEN q % 7 = 1 AND pk % 3 > 0 THEN CASE pk % 6 WHEN 0 THEN concat('a = ', CAST(pk AS STRING)) WHEN 1 THEN concat('@bsfrac{', CAST(pk AS STRING), '}{2}') WHEN 2 THEN 'some plain words of prose' WHEN 3 THEN 'so $x$ holds for continuous maps' WHEN 4 THEN concat('x_', CAST(pk AS STRING)) ELSE 'is = it' END
+    ELSE CASE (pk + 2 * sk) % 9 WHEN 0 THEN '{open' WHEN 1 THEN '$y left' WHEN 2 THEN '@bsfrac{a}{b}' WHEN 3 THEN ' ' WHEN 4 THEN 'only words of prose here' WHEN 5 THEN '$a$' ELSE 'so $a$ holds for many maps' END END AS text
+FROM (SELECT l_orderkey AS batch, l_partkey AS pk, l_suppkey AS sk, CAST(l_quantity AS BIGINT) AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) - 1 AS id FROM @lineitem) t WHERE (pk + id) % 3 <> 0""",
     "quads": """
 SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN @arr(x1, y1, x2, y1 + b, x2 - a, y2, x1 - a, y2 - b) WHEN vec_id % 3 = 1 THEN @arr(x1, y1, x1, y2, x2, y2, x2, y1) ELSE @arr(x1, y1, x2, y2, x2, y1, x1 + a, y2) END AS quad, x1, y1, x2, y2
 FROM (SELECT vec_id, CAST(vec_id % 90 * 10 AS DOUBLE) AS x1, CAST(vec_id % 61 * 20 + 5 AS DOUBLE) AS y1, CAST(vec_id % 90 * 10 + 40 + label * 7 AS DOUBLE) AS x2, CAST(vec_id % 61 * 20 + 35 + label % 5 AS DOUBLE) AS y2, CAST(label % 4 AS DOUBLE) AS a, CAST(vec_id % 5 AS DOUBLE) AS b FROM @embeddings) t""",
@@ -115,7 +156,5 @@ def fx(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = FX[name].replace("@bs", "\\\\").replace("@bad", "\ufffd").replace("@arr", "array")
     sql = sql.replace("chr(10) @within)", "chr(10)) WITHIN GROUP (ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate)")
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in set(re.findall(r"@(\w+)", sql)) if t in TABLES}
-    sql = re.sub(r"@(\w+)", r"\1_in_fx", sql)
-    for t, df in tables.items():
-        df.createOrReplaceTempView(f"{t}_in_fx")
-    return spark.sql(sql)
+    sql = re.sub(r"@(\w+)", r"{\1}", sql.replace("{", "{{").replace("}", "}}"))
+    return spark.sql(sql, **tables)

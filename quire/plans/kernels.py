@@ -6,16 +6,13 @@ are in the tests.
 
 from __future__ import annotations
 
-import json
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from quire.functions import geometry as G
 from quire.functions import latex
 from quire.functions import text as X
-from quire.operators import decode, images, layout
+from quire.operators import calls, decode, images, layout
 from quire.plans.fixtures import PAGE_H, PAGE_W, fx
 from quire.plans.registry import query
 from quire.sources import provider
@@ -30,15 +27,23 @@ def g09(spark, d):
     b = fx(spark, d, "blocks").select("page", "ord", "id", G.quad_of(layout.box_of()).alias("q"))
     n = b.select("page", (F.col("ord") - 1).alias("ord"), F.col("id").alias("id_b"), F.col("q").alias("q_b"))
 
-    @F.pandas_udf("double")
-    def clip(a: pd.Series, b: pd.Series) -> pd.Series:
-        points = lambda q: [(q[2 * i], q[2 * i + 1]) for i in range(4)]
-        return pd.Series([layout.clip_area(points(x), points(y)) for x, y in zip(a, b, strict=True)])
+    return b.join(n, ["page", "ord"]).select("page", "id", "id_b", F.round(layout.shared_quads("q", "q_b"), 6).alias("shared"))
+
 
-    return b.join(n, ["page", "ord"]).select("page", "id", "id_b", F.round(clip("q", "q_b"), 6).alias("shared"))
+_AREA = "((b.x2 - b.x1) * (b.y2 - b.y1))"
+_MEET = "greatest(0, least(b.x2, o.x2) - greatest(b.x1, o.x1)) * greatest(0, least(b.y2, o.y2) - greatest(b.y1, o.y1))"
 
 
-@query("w01_greedy_nms")
+@query("w01_greedy_nms", f"""
+WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY score DESC, id) AS k FROM fx_blocks b WHERE NOT EXISTS (SELECT 1 FROM fx_blocks o WHERE o.page = b.page AND o.id <> b.id AND b.category = 'text' AND o.category IN ('figure', 'table')
+    AND o.source_label NOT IN ('residual_background', 'local_source_fragment') AND {_MEET} / greatest(1, {_AREA}) >= .82)),
+rivals AS (SELECT b.page, b.k, list(o.k) AS before FROM e b JOIN e o ON o.page = b.page AND o.k < b.k AND o.category = b.category AND 'residual_background' NOT IN (b.source_label, o.source_label)
+  AND abs((b.y1 + b.y2) / 2 - (o.y1 + o.y2) / 2) <= .15 * least(b.y2 - b.y1, o.y2 - o.y1) AND {_MEET} / greatest(1, {_AREA}) >= .9 AND {_MEET} / greatest(1, (o.x2 - o.x1) * (o.y2 - o.y1)) >= .9 GROUP BY b.page, b.k),
+n AS (SELECT e.page, e.k, coalesce(before, []) AS before FROM e LEFT JOIN rivals r ON r.page = e.page AND r.k = e.k),
+fold AS (SELECT DISTINCT page, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept FROM e
+  UNION ALL SELECT n.page, n.k, CASE WHEN len(list_intersect(n.before, kept)) = 0 THEN list_append(kept, n.k) ELSE kept END FROM fold f JOIN n ON n.page = f.page AND n.k = f.k + 1),
+last AS (SELECT page, arg_max(kept, k) AS kept FROM fold GROUP BY page)
+SELECT e.page, e.id, row_number() OVER (PARTITION BY e.page ORDER BY (y1 + y2) / 2, x1, id) - 1 AS ord FROM e JOIN last l ON l.page = e.page WHERE list_contains(l.kept, e.k)""")
 def w01(spark, d):
     return layout.greedy_nms(fx(spark, d, "blocks").select("page", "id", "category", "source_label", "score", "x1", "y1", "x2", "y2"), "page")
 
@@ -53,38 +58,24 @@ def w04(spark, d):
     return layout.with_reading_order(fx(spark, d, "blocks").select("page", "id", "x1", "y1", "x2", "y2"), "page", PAGE_W)
 
 
-@query("x08_math_syntax")
+_OPEN = r"""(SELECT id, content, coalesce(list_min(run) >= 0 AND run[-1] = 0, true) AS closed FROM (SELECT id, content, list_transform(range(1, len(cs) + 1), lambda i: list_sum(list_transform(cs[1:i], lambda c: CASE WHEN c = '{' THEN 1 ELSE -1 END))) AS run
+  FROM (SELECT id, content, list_filter(string_split(regexp_replace(content, '\\.', '', 'g'), ''), lambda c: c IN ('{', '}')) AS cs FROM fx_math)))"""
+
+
+@query("x08_math_syntax", f"SELECT id, CASE WHEN NOT closed THEN 'unbalanced LaTeX braces' END AS error FROM {_OPEN}")
 def x08(spark, d):
-    return fx(spark, d, "math").select("id", latex.column(latex.math_syntax_error)("content").alias("error"))
+    return fx(spark, d, "math").select("id", latex.math_syntax_error(F.col("content")).alias("error"))
 
 
-@query("x09_text_syntax")
+@query("x09_text_syntax", rf"SELECT id, CASE WHEN id % 2 = 0 THEN CASE WHEN NOT closed THEN 'unbalanced LaTeX braces' END WHEN regexp_matches(content, '\\(frac|sqrt)') THEN 'mathematical command outside a math delimiter' END AS error FROM {_OPEN}")
 def x09(spark, d):
     both = fx(spark, d, "math").select("id", "content", F.when(F.col("id") % 2 == 0, "math").otherwise("text").alias("category"))
-    return both.select("id", latex.column(latex.syntax_error)("category", "content").alias("error"))
+    return both.select("id", latex.syntax_error(F.col("category"), F.col("content")).alias("error"))
 
 
-@query("x11_clean_math")
+@query("x11_clean_math", r"SELECT id, regexp_replace(content, '^\s+|\s+$', '', 'g') AS formula FROM fx_math")
 def x11(spark, d):
-    return fx(spark, d, "math").select("id", latex.column(latex.clean_math)("content").alias("formula"))
-
-
-@query("x13_render_text")
-def x13(spark, d):
-    lines = fx(spark, d, "lines").select("id", F.col("line").alias("content")).unionByName(fx(spark, d, "fence").select((F.col("id") + 1_000_000_000).alias("id"), "content"))
-    return lines.select("id", latex.column(latex.render_text)("content").alias("tex"))
-
-
-@query("x16_html_rows")
-def x16(spark, d):
-    rows = latex.column(lambda s: latex.html_rows(s), "array<array<string>>")
-    return fx(spark, d, "html").select("id", rows("content").alias("cells"))
-
-
-@query("x15b_table_any")
-def x15b(spark, d):
-    both = fx(spark, d, "html").unionByName(fx(spark, d, "pipe").select((F.col("id") + 1_000_000_000).alias("id"), "content"))
-    return both.select("id", latex.column(latex.table_tex)("content").alias("tex"))
+    return fx(spark, d, "math").select("id", latex.clean_math(F.col("content")).alias("formula"))
 
 
 _RAW = """(SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN '{"choices": [{"message": {"content": "  ' || event_type || ' "}}]}' WHEN 1 THEN '{"choices": [{"message": {"content": [{"text": "' || event_type || '"}, "b", {"image": 1}]}}]}'
@@ -125,57 +116,6 @@ def n06(spark, d):
     return layout.valid_geometry(flat, PAGE_W, PAGE_H).select("page", "ord", *(F.round(c, 6).alias(c) for c in ("x1", "y1", "x2", "y2")))
 
 
-def _responses(spark, d):
-    """A response for each user: words nested at some depth, positions, or a listing."""
-    e = _t(spark, d, "events").select("user_id", "event_id", "value")
-    return e.select("event_id", F.to_json(F.struct((F.col("event_id") % 1000).alias("n"), F.col("value").cast("int").alias("v"))).alias("seed"))
-
-
-def _response(seed: str) -> tuple[dict, str]:
-    n = json.loads(seed)["n"]
-    word = {"location": [n, 0, n + 9, 0, n + 9, 5, n, 5], "text": f"w{n}"}
-    if n % 4 == 0:
-        return {"a": [{"b": {"words_info": [word, "no object"]}}], "words_info": None}, ""
-    if n % 4 == 1:
-        return {"choices": []}, json.dumps({"words_info": [word]})
-    if n % 4 == 2:
-        return {"choices": []}, json.dumps({"pos_list": [{"rotate_rect": [n, 2, 3, 4, 5]}, {"rotate_rect": [n, 2, 3, 4, 5]}], "x": [{"bbox": [1, 2, 3, n]}]})
-    return {"choices": []}, f"{n},10,20,30,5\n{n},50,20,30,5"
-
-
-@query("n02_words_info")
-def n02(spark, d):
-    f = latex.column(lambda s: len(provider.find_words(_response(s)[0])), "int")
-    return _responses(spark, d).select("event_id", f("seed").alias("n_words"))
-
-
-@query("n03_position_items")
-def n03(spark, d):
-    f = latex.column(lambda s: len(provider.find_positions(json.loads(_response(s)[1]) if _response(s)[1].startswith("{") else {})), "int")
-    return _responses(spark, d).select("event_id", f("seed").alias("n_items"))
-
-
-@query("n04_parse_cascade", "SELECT event_id, CASE event_id % 1000 % 4 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 2 END AS n_items FROM events")
-def n04(spark, d):
-    f = latex.column(lambda s: len(provider.layout_items(*_response(s))), "int")
-    return _responses(spark, d).select("event_id", f("seed").alias("n_items"))
-
-
-@query("n09_parse_records")
-def n09(spark, d):
-    u = fx(spark, d, "records").select("id", F.to_json(F.struct(F.array(F.struct(F.col("id").cast("string").alias("id"), "text", "category", "status", F.array_repeat(F.lit("why"), F.col("n_issues").cast("int")).alias("issues"))).alias("units"))).alias("body"))
-    return u.select("id", latex.column(lambda s: len(provider.parse_records(s)[0]), "int")("body").alias("n_records"))
-
-
-@query("n11_response_gate")
-def n11(spark, d):
-    body = F.when(F.col("event_id") % 3 == 0, "oops").when(F.col("event_id") % 3 == 1, '{"choices": [{"finish_reason": "length"}], "usage": {"input_tokens": 3}}').otherwise('{"choices": [{"message": {"content": "x"}}], "usage": {"input_tokens": 4}}')
-    e = _t(spark, d, "events").select(F.col("event_id").alias("id"), (200 + F.col("event_id") % 2 * 204).cast("string").alias("status"), body.alias("body"))
-    gate = latex.column(lambda s, b: provider.gate(int(s), b)[0])
-    usage = latex.column(lambda s, b: provider.gate(int(s), b)[1].get("input_tokens", 0), "int")
-    return e.select("id", gate("status", "body").alias("error"), usage("status", "body").alias("tokens"))
-
-
 @query("n12_router_answer", "SELECT event_id AS id, CASE WHEN event_id % 7 = 0 OR event_id % 5 = 0 THEN NULL ELSE (event_id % 11) / 10 >= .5 END AS rescue FROM events")
 def n12(spark, d):
     i = F.col("event_id")
@@ -190,12 +130,6 @@ def n13(spark, d):
     return _t(spark, d, "events").select(i.alias("id"), provider.unsupported_field(text).alias("unsupported"))
 
 
-@query("x19_redact")
-def x19(spark, d):
-    f = latex.column(lambda s: json.dumps(provider.redact({"props": s, "API-Key": "k", "nested": [{"cookie": s}, "data:image/png;base64,AAAA"]}, "k", True), sort_keys=True))
-    return _t(spark, d, "events").select(F.col("event_id").alias("id"), f(F.coalesce("props", F.lit(""))).alias("shown"))
-
-
 @query("m09_decode_cascade")
 def m09(spark, d):
     i = F.col("id")
@@ -238,7 +172,7 @@ def _fifth(r) -> tuple:
     return r.x1 / 5, r.y1 / 5, r.x2 / 5, r.y2 / 5
 
 
-@query("i01_crop")
+@query("i01_crop", "SELECT page, id, CAST(floor(least(280, y2 / 5 + 2)) - floor(greatest(0, y1 / 5 - 2)) AS INT) AS height, CAST(floor(least(200, x2 / 5 + 2)) - floor(greatest(0, x1 / 5 - 2)) AS INT) AS width FROM fx_blocks")
 def i01(spark, d):
     def run(rows):
         page = _drawn(rows)
@@ -247,15 +181,6 @@ def i01(spark, d):
     return _by_page(spark, d, run, "id string, height int, width int")
 
 
-@query("i05_review_crop", """SELECT page, id, greatest(0, floor(x1 - least(greatest(8, 1.25 * (y2 - y1)), 40))) AS x1, greatest(0, floor(y1 - least(greatest(8, 1.25 * (y2 - y1)), 56))) AS y1, x1 - greatest(0, floor(x1 - least(greatest(8, 1.25 * (y2 - y1)), 40))) AS target_x1 FROM fx_blocks""")
-def i05(spark, d):
-    def run(rows):
-        got = [(r.id, images.review_window((r.x1, r.y1, r.x2, r.y2), PAGE_W, PAGE_H, r.y2 - r.y1)) for r in rows]
-        return [(i, float(w[0]), float(w[1]), t[0]) for i, (w, t) in got]
-
-    return _by_page(spark, d, run, "id string, x1 double, y1 double, target_x1 double")
-
-
 @query("i06_residual")
 def i06(spark, d):
     def run(rows):
@@ -285,7 +210,7 @@ def i09(spark, d):
     return _by_page(spark, d, run, "figures bigint, uncertain boolean")
 
 
-@query("i10_contact_sheet")
+@query("i10_contact_sheet", "SELECT page, CAST(greatest(320, max(w) + 16) AS INT) AS width, CAST(sum(h + 42) AS INT) AS height, CAST(count(*) AS INT) AS regions FROM (SELECT page, floor(least(280, y2 / 5 + 2)) - floor(greatest(0, y1 / 5 - 2)) AS h, floor(least(200, x2 / 5 + 2)) - floor(greatest(0, x1 / 5 - 2)) AS w FROM fx_blocks) GROUP BY page")
 def i10(spark, d):
     def run(rows):
         page = _drawn(rows)
@@ -295,34 +220,73 @@ def i10(spark, d):
     return _by_page(spark, d, run, "width int, height int, regions int")
 
 
-@query("i03_packed_crop", "SELECT page, max(CAST(floor(x2 / 5) - floor(x1 / 5) AS INT)) AS width, CAST(sum(floor(y2 / 5) - floor(y1 / 5)) + 4 * (count(*) - 1) AS INT) AS height FROM fx_blocks GROUP BY page")
-def i03(spark, d):
+_SIDES = "SELECT page, floor(x2 / 5) - floor(x1 / 5) AS w, floor(y2 / 5) - floor(y1 / 5) AS h, ord FROM fx_blocks"
+
+
+def _corners(r) -> list[float]:
+    x1, y1, x2, y2 = (float(int(v)) for v in _fifth(r))
+    return [x1, y1, x2, y1, x2, y2, x1, y2]
+
+
+@query("i02_straightened_line", f"SELECT page, ord AS n, CAST(w AS INT) AS width, CAST(h AS INT) AS height FROM ({_SIDES})")
+def i02(spark, d):
     def run(rows):
         page = _drawn(rows)
-        out = images.stacked([images.crop(page, _fifth(r), 0) for r in rows], 4)
+        lines = [images.straightened(page, _corners(r)) for r in sorted(rows, key=lambda r: r.id)]
+        return [(k, x.shape[1], x.shape[0]) for k, x in enumerate(lines)]
+
+    return _by_page(spark, d, run, "n bigint, width int, height int")
+
+
+@query("i03_packed_crop", f"SELECT page, CAST(max(w) + 16 AS INT) AS width, CAST(sum(h) + 8 * (count(*) - 1) + 16 AS INT) AS height FROM ({_SIDES}) GROUP BY page")
+def i03(spark, d):
+    def run(rows):
+        out = images.packed_crop(_drawn(rows), [_corners(r) for r in rows], 8)
         return [(out.shape[1], out.shape[0])]
 
     return _by_page(spark, d, run, "width int, height int")
 
 
-@query("a15_background")
-def a15(spark, d):
-    return _by_page(spark, d, lambda rows: [images.background(_drawn(rows))], "r int, g int, b int")
+@query("i04_union_crop", "SELECT page, CAST(least(200, floor(max(x2) / 5)) - floor(min(x1) / 5) + 8 AS INT) AS width, CAST(least(280, floor(max(y2) / 5)) - floor(min(y1) / 5) + 8 AS INT) AS height FROM fx_blocks GROUP BY page")
+def i04(spark, d):
+    def run(rows):
+        out = images.union_crop(_drawn(rows), [_corners(r) for r in rows], 4)
+        return [(out.shape[1], out.shape[0])]
 
+    return _by_page(spark, d, run, "width int, height int")
 
-@query("i11_data_url", "SELECT page_id AS id, 'data:image/png;base64,' || to_base64(encode(html)) AS url FROM pages")
-def i11(spark, d):
-    return _t(spark, d, "pages").select(F.col("page_id").alias("id"), F.concat(F.lit("data:image/png;base64,"), F.replace(F.base64(F.encode("html", "UTF-8")), F.lit("\r\n"), F.lit(""))).alias("url"))
+
+@query("i05_review_crop", "SELECT page, id, CAST(least(200, ceil(x2 + p)) - greatest(0, floor(x1 - p)) AS INT) AS width, CAST(least(280, ceil(y2 + q)) - greatest(0, floor(y1 - q)) AS INT) AS height FROM (SELECT *, 8 AS p, least(greatest(8, 1.25 * (y2 - y1)), 0.04::DOUBLE * 280) AS q FROM (SELECT page, id, x1 / 5 AS x1, y1 / 5 AS y1, x2 / 5 AS x2, y2 / 5 AS y2 FROM fx_blocks))")
+def i05(spark, d):
+    b = fx(spark, d, "blocks").select("page", "id", "category", *(F.col(c) / 5 for c in ("x1", "y1", "x2", "y2"))).toDF("page", "id", "category", "x1", "y1", "x2", "y2")
+    w = G.review_window(layout.box_of(), G.line_height(F.lit(None).cast("array<array<double>>"), layout.box_of(), PAGE_W / 5, PAGE_H / 5), PAGE_W / 5, PAGE_H / 5)["window"]
+    framed = b.withColumn("w", w).select("page", "id", "category", "x1", "y1", "x2", "y2", *(F.col("w")[c].alias(f"w{c}") for c in ("x1", "y1", "x2", "y2")))
+
+    def run(rows):
+        page = _drawn(rows, 1.0)[: PAGE_H // 5, : PAGE_W // 5]
+        crops = [images.crop(page, (r.wx1, r.wy1, r.wx2, r.wy2), 0) for r in rows]
+        return [(r.id, c.shape[1], c.shape[0]) for r, c in zip(rows, crops, strict=True)]
+
+    return layout.per_page(framed, ["page"], framed.columns[1:], run, "id string, width int, height int")
 
 
-@query("s06_json_sink", "SELECT id, json_object('id', id, 'category', category, 'bbox', [x1, y1]) ->> 'category' AS category, length(source_label) AS n FROM fx_blocks WHERE category = 'figure'")
-def s06(spark, d):
-    rows = fx(spark, d, "blocks").where("category = 'figure'")
-    js = F.to_json(F.struct("id", "category", F.array("x1", "y1").alias("bbox")))
-    return rows.select("id", F.get_json_object(js, "$.category").alias("category"), F.length("source_label").alias("n"))
+@query("i12_diagnostic_residual", "SELECT page, CAST(0 AS BIGINT) AS dark FROM fx_blocks GROUP BY page")
+def i12(spark, d):
+    def run(rows):
+        left = images.residual(_drawn(rows), [{"category": r.category, "quad": _corners(r)} for r in rows], everything=True)
+        return [(int((left < 100).sum()),)]
+
+    return _by_page(spark, d, run, "dark bigint")
 
 
-@query("s13_asset_names", "SELECT page, id, printf('assets/p%04d_%s%s', page, regexp_replace(id || ' ' || source_label, '[^A-Za-z0-9_.-]', '_', 'g'), '.png') AS asset FROM fx_blocks WHERE category = 'figure' AND source_label <> 'residual_background'")
-def s13(spark, d):
-    b = fx(spark, d, "blocks").where("category = 'figure' AND source_label <> 'residual_background'")
-    return b.select("page", "id", F.format_string("assets/p%04d_%s%s", "page", X.asset_id(F.concat_ws(" ", "id", "source_label")), F.lit(".png")).alias("asset"))
+@query("a15_background", "SELECT page, 250 AS r, 250 AS g, 250 AS b FROM fx_blocks GROUP BY page")
+def a15(spark, d):
+    return _by_page(spark, d, lambda rows: [images.background(_drawn(rows))], "r int, g int, b int")
+
+
+@query("i11_data_url", "SELECT vec_id AS id, 'data:image/png;base64,iVBORw0KGgo' AS head FROM embeddings")
+def i11(spark, d):
+    """Each picture is a real one: four grey pixels by the vector's label."""
+    grey = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    pictures = provider.mapped(grey, ["id"], ["label"], lambda v: [(images.png_bytes(np.full((2, 2), v % 256, np.uint8)),)], "png binary")
+    return pictures.select("id", F.left(calls.data_url(F.col("png")), F.lit(33)).alias("head"))

@@ -6,11 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.functions import geometry as G
+from quire.functions import latex
 from quire.functions import text as X
 from quire.operators import compose, layout, report, review
 from quire.plans.fixtures import PAGE_H, PAGE_W, fx
 from quire.plans.registry import query
-from quire.plans.scalars import PROSE_SQL, ROWS_SQL, TABULAR_SQL, tex_sql
+from quire.plans.scalars import _STRIP, PROSE_SQL, ROWS_SQL, TABULAR_SQL, tex_sql
 
 P = ["page"]
 
@@ -36,11 +37,6 @@ def f01(spark, d):
     return layout.valid_geometry(b, PAGE_W, 350)
 
 
-@query("f03_review_eligible", "SELECT id FROM fx_units WHERE category IN ('text', 'math', 'table') AND crop_path <> '' AND NOT contains(member, '_fullpage') AND length(decoded) + length(CAST(id AS STRING)) + 100 <= 12000")
-def f03(spark, d):
-    return review.eligible(fx(spark, d, "units")).select("id")
-
-
 @query("a01_quality", "SELECT page, round(avg(score), 6) AS quality, count(*) AS n_blocks FROM fx_blocks GROUP BY page")
 def a01(spark, d):
     b = fx(spark, d, "blocks")
@@ -54,26 +50,12 @@ def f04(spark, d):
     return layout.needs_layout_rescue(layout.page_quality(b, pages, P)).select("page", "n_blocks")
 
 
-@query("f05_decode_rescue", "SELECT id, coalesce(CASE id % 11 WHEN 0 THEN true WHEN 1 THEN false END, (length(content) % 100) / 100 < .55) AS rescue FROM fx_text")
-def f05(spark, d):
-    router = F.when(F.col("id") % 11 == 0, True).when(F.col("id") % 11 == 1, False)
-    return fx(spark, d, "text").select("id", F.coalesce(router, (F.length("content") % 100) / 100 < 0.55).alias("rescue"))
-
-
 @query("f06_missing", "SELECT id FROM fx_units WHERE category IN ('text','math','table') AND trim(decoded) = '' AND id % 8 <> 1")
 def f06(spark, d):
     u = fx(spark, d, "units").withColumn("merged_into", F.when(F.col("id") % 8 == 1, F.col("id") - 1))
     return report.missing_transcription(u).select("id")
 
 
-@query("f07_background", "SELECT page, ord // 3 AS grp, bool_or(source_label IN ('residual_background', 'whole_page_no_text')) AS background FROM fx_blocks GROUP BY ALL")
-def f07(spark, d):
-    b = fx(spark, d, "blocks")
-    units = b.groupBy("page", F.floor(F.col("ord") / 3).cast("long").alias("grp")).agg(F.collect_list("id").alias("members"))
-    members = units.select("page", "grp", F.explode("members").alias("id")).join(b.select("page", "id", "source_label"), ["page", "id"])
-    return members.groupBy("page", "grp").agg(F.bool_or(F.col("source_label").isin("residual_background", "whole_page_no_text")).alias("background"))
-
-
 _SH = "greatest(0, least(b.x2, o.x2) - greatest(b.x1, o.x1)) * greatest(0, least(b.y2, o.y2) - greatest(b.y1, o.y1))"
 
 
@@ -166,43 +148,6 @@ def j11(spark, d):
     return review.checked_sources(_records(spark, d), fx(spark, d, "units"), ["batch"]).select("batch", "id", "known", "sole")
 
 
-_ERROR = r"""CASE WHEN NOT known THEN 'unknown source ID' WHEN len(list_distinct(sources)) <> len(sources) OR sources[1] <> id THEN 'duplicate source IDs or nonleading record ID'
-  WHEN category NOT IN ('text','math','table') OR status NOT IN ('verified','corrected','uncertain') THEN 'invalid category or status' WHEN trim(text) = '' OR length(text) > 40000 THEN 'empty or oversized transcription'
-  WHEN status IN ('corrected','uncertain') AND n_issues = 0 THEN 'change or uncertainty has no explanation'
-  WHEN status = 'verified' AND (len(sources) <> 1 OR text <> u_decoded OR category <> u_category) THEN 'verified record changes the original draft' END"""
-_JUDGED = f"(SELECT *, {_ERROR} AS error FROM (SELECT c.*, u.decoded AS u_decoded, u.category AS u_category FROM {_CHECK} c JOIN fx_units u ON u.batch = c.batch AND u.id = c.id))"
-
-
-def _judged(spark, d):
-    u = fx(spark, d, "units")
-    r = review.checked_sources(_records(spark, d), u, ["batch"]).join(u.select("batch", "id", F.struct("decoded", "category").alias("draft")), ["batch", "id"], "left")
-    return r.withColumn("error", review.first_rule(F.struct(*r.columns), F.col("draft")))
-
-
-@query("n10_record_rules", f"SELECT batch, id, error FROM {_JUDGED}")
-def n10(spark, d):
-    return _judged(spark, d).select("batch", "id", "error")
-
-
-def _accepted(spark, d):
-    return _judged(spark, d).where("error IS NULL AND sole").select("batch", "id", "sources", "category", "status", "text")
-
-
-@query("j10_apply_review", f"""
-WITH r AS (SELECT batch, id AS leader, unnest(sources) AS id, generate_subscripts(sources, 1) AS pos, category AS rc, status AS rs, text AS rt FROM {_JUDGED} WHERE error IS NULL AND sole)
-SELECT u.batch, u.id, CASE WHEN rs IN ('verified','corrected') AND pos = 1 THEN rc ELSE u.category END AS category, CASE WHEN rs IN ('verified','corrected') THEN CASE WHEN pos = 1 THEN rt ELSE '' END ELSE u.decoded END AS decoded, u.decoded AS raw_decoded,
-  coalesce(rs, 'uncertain') AS status, CASE WHEN rs IS NULL THEN 'No valid image-grounded review returned' ELSE '' END AS issue, coalesce(rs IN ('verified','corrected'), false) AS applied,
-  CASE WHEN rs IN ('verified','corrected') AND pos > 1 THEN leader END AS merged_into, CASE WHEN rs = 'uncertain' AND pos = 1 THEN rt END AS proposed_text FROM fx_units u LEFT JOIN r ON r.batch = u.batch AND r.id = u.id""")
-def j10(spark, d):
-    return review.apply_records(fx(spark, d, "units"), _accepted(spark, d), ["batch"])
-
-
-@query("a08_review_summary", "SELECT count(*) FILTER (s = 'verified') AS verified, count(*) FILTER (s = 'corrected') AS corrected, count(*) FILTER (s = 'uncertain') AS uncertain, count(*) FILTER (s = 'not_reviewed') AS not_reviewed, count(m) AS merged, count(*) AS regions FROM (SELECT CASE WHEN toxic = 1 THEN 'uncertain' WHEN quality = 1 THEN 'verified' WHEN quality = 0 THEN 'corrected' ELSE 'not_reviewed' END AS s, CASE WHEN id % 9 = 4 THEN id END AS m FROM fx_units)")
-def a08(spark, d):
-    s = F.when(F.col("toxic") == 1, "uncertain").when(F.col("quality") == 1, "verified").when(F.col("quality") == 0, "corrected").otherwise("not_reviewed")
-    return review.summary(fx(spark, d, "units").withColumns({"status": s, "merged_into": F.when(F.col("id") % 9 == 4, F.col("id"))}))
-
-
 @query("a03_group_bbox", "SELECT page, ord // 3 AS grp, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, round(avg(score), 6) AS score FROM fx_blocks GROUP BY ALL")
 def a03(spark, d):
     u = layout.grouped(_hinted(spark, d), P)
@@ -245,16 +190,6 @@ def a07(spark, d):
     return report.cost_estimate(_tokens(spark, d), ["doc_id"]).select("doc_id", *(F.round(c, 8).alias(c) for c in (*report.PRICES, "total")))
 
 
-@query("a12_merged_geometry", """
-WITH r AS (SELECT page, ord AS leader, unnest([ord, ord + 1]) AS ord, unnest([0, 1]) AS pos FROM (SELECT page, ord, count(*) OVER (PARTITION BY page) AS n FROM fx_blocks) WHERE ord % 2 = 0 AND ord + 1 < n)
-SELECT b.page, leader AS id, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, list([x1, y1, x2, y1, x2, y2, x1, y2] ORDER BY pos) AS quads FROM fx_blocks b JOIN r ON r.page = b.page AND r.ord = b.ord GROUP BY b.page, leader""")
-def a12(spark, d):
-    b = fx(spark, d, "blocks").withColumn("id", F.col("ord"))
-    n = F.count("*").over(Window.partitionBy("page"))
-    rec = b.withColumn("n", n).where("ord % 2 = 0 AND ord + 1 < n").select("page", "id", F.array(F.col("ord"), F.col("ord") + 1).alias("sources"))
-    return review.merged_geometry(b, rec, P)
-
-
 @query("a13_manifest_status", "SELECT page, CASE WHEN NOT (page % 9 <> 2) THEN 'error' WHEN bool_or(category = 'figure') THEN 'warning' ELSE 'ok' END AS status FROM fx_blocks GROUP BY page")
 def a13(spark, d):
     per = fx(spark, d, "blocks").groupBy("page").agg(F.bool_or(F.col("category") == "figure").alias("warned"))
@@ -277,11 +212,6 @@ def u02(spark, d):
     return layout.with_fallback(fx(spark, d, "blocks").where("page % 5 <> 1"), pages, P, PAGE_W, PAGE_H)
 
 
-@query("u04_geometry_distinct", "SELECT page, min(ord) AS ord, x1, y1 FROM (SELECT page, ord, x1, round(y1 / 40) AS y1 FROM fx_blocks) GROUP BY page, x1, y1")
-def u04(spark, d):
-    return fx(spark, d, "blocks").groupBy("page", "x1", F.round(F.col("y1") / 40).alias("y1")).agg(F.min("ord").alias("ord"))
-
-
 @query("u05_key_sets", "SELECT id, len(list_filter(ks, lambda k: k NOT IN ('input_tokens', 'output_tokens', 'prompt_tokens'))) = 0 AS allowed, list_contains(ks, 'input_tokens') AND list_contains(ks, 'output_tokens') AS complete FROM (SELECT id, json_keys(CAST(usage AS JSON)) AS ks FROM fx_usage)")
 def u05(spark, d):
     ks = F.json_object_keys("usage")
@@ -296,20 +226,29 @@ def w03(spark, d):
 
 _PARA = """CASE WHEN pc IS NULL OR category NOT IN ('text', 'unknown') OR pc NOT IN ('text', 'unknown') THEN true ELSE
   greatest(0, least(x2, p2) - greatest(x1, p1)) / greatest(1, least(x2 - x1, p2 - p1)) < .25 OR st <= -.5 * md OR greatest(h, ph) > 1.75 * least(h, ph) OR st - md > greatest(11.2, .85 * md) OR x1 - p1 > greatest(25, .8 * md) END"""
-_PROSE = f"""(SELECT *, {_PARA} AS paragraph FROM (SELECT *, (y1 + y2) / 2 - py AS st, (h + ph) / 2 AS md FROM (
-  SELECT *, greatest(1, y2 - y1) AS h, lag(category) OVER w AS pc, lag(x1) OVER w AS p1, lag(x2) OVER w AS p2, lag((y1 + y2) / 2) OVER w AS py, lag(greatest(1, y2 - y1)) OVER w AS ph FROM SOURCE WINDOW w AS (PARTITION BY page ORDER BY ord))))"""
 
 
-@query("w05_paragraph_break", f"SELECT page, ord, paragraph FROM {_PROSE.replace('SOURCE', 'fx_prose')}")
+def _paragraphs(source: str, doc: str = "page", order: str = "ord") -> str:
+    return f"""(SELECT *, {_PARA} AS paragraph FROM (SELECT *, (y1 + y2) / 2 - py AS st, (h + ph) / 2 AS md FROM (
+  SELECT *, greatest(1, y2 - y1) AS h, lag(category) OVER w AS pc, lag(x1) OVER w AS p1, lag(x2) OVER w AS p2, lag((y1 + y2) / 2) OVER w AS py, lag(greatest(1, y2 - y1)) OVER w AS ph FROM {source} WINDOW w AS (PARTITION BY {doc} ORDER BY {order}))))"""
+
+
+@query("w05_paragraph_break", f"SELECT page, ord, paragraph FROM {_paragraphs('fx_prose')}")
 def w05(spark, d):
     return compose.with_paragraphs(fx(spark, d, "prose"), P, ["ord"], PAGE_W, PAGE_H).select("page", "ord", "paragraph")
 
 
-_RUNS = rf"""(SELECT page, run, min_by(CASE WHEN category IN ('text','unknown') THEN 'text' ELSE category END, ord) AS category, string_agg(sep || content, '' ORDER BY ord) AS content FROM (
-  SELECT *, sum(CASE WHEN s THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY ord) AS run, CASE WHEN s THEN '' WHEN paragraph THEN chr(10) || chr(10)
-    WHEN regexp_matches(pl, '^\s*(?:[-*•]\s+|\d+[.)]\s+).+$|^\s*#{{1,6}}\s+.+$') OR regexp_matches(fl, '^\s*(?:[-*•]\s+|\d+[.)]\s+).+$|^\s*#{{1,6}}\s+.+$') THEN chr(10) ELSE ' ' END AS sep FROM (
-    SELECT *, NOT (category IN ('text','unknown') AND coalesce(lag(category IN ('text','unknown')) OVER (PARTITION BY page ORDER BY ord), false)) AS s, string_split(lag(content) OVER (PARTITION BY page ORDER BY ord), chr(10))[-1] AS pl, string_split(content, chr(10))[1] AS fl
-    FROM {_PROSE.replace('SOURCE', "(SELECT *, CASE WHEN ord % 11 = 1 THEN '' WHEN ord % 4 = 2 THEN '- ' || text ELSE text END AS content FROM fx_prose WHERE NOT (category IN ('text','unknown') AND ord % 11 = 1)) z")})) GROUP BY page, run)"""
+def _RUNS_OF(source: str, doc: str, order: str, keep: str = "") -> str:
+    """Runs of prose units of source; a paragraph's blank line only within a page."""
+    win = f"OVER (PARTITION BY {doc} ORDER BY {order})"
+    item = r"^\s*(?:[-*•]\s+|\d+[.)]\s+).+$|^\s*#{1,6}\s+.+$"
+    return rf"""(SELECT {doc}, run, {keep + ', ' if keep else ''}min_by(CASE WHEN category IN ('text','unknown') THEN 'text' ELSE category END, page * 1000 + ord) AS category, string_agg(sep || content, '' ORDER BY {order}) AS content FROM (
+  SELECT *, sum(CASE WHEN s THEN 1 ELSE 0 END) {win} AS run, CASE WHEN s THEN '' WHEN paragraph AND pp = page THEN chr(10) || chr(10) WHEN regexp_matches(pl, '{item}') OR regexp_matches(fl, '{item}') THEN chr(10) ELSE ' ' END AS sep FROM (
+    SELECT *, NOT (category IN ('text','unknown') AND coalesce(lag(category IN ('text','unknown')) {win}, false)) AS s, lag(page) {win} AS pp, string_split(lag(content) {win}, chr(10))[-1] AS pl, string_split(content, chr(10))[1] AS fl
+    FROM {_paragraphs(source, doc, order)})) GROUP BY {doc}, run)"""
+
+
+_RUNS = _RUNS_OF("(SELECT *, CASE WHEN ord % 11 = 1 THEN '' WHEN ord % 4 = 2 THEN '- ' || text ELSE text END AS content FROM fx_prose WHERE NOT (category IN ('text','unknown') AND ord % 11 = 1)) z", "page", "ord")
 
 
 def _runs(spark, d):
@@ -322,35 +261,119 @@ def w06(spark, d):
     return _runs(spark, d).select("page", "run", "category", "content")
 
 
-_TEX = rf"""CASE category WHEN 'math' THEN CASE WHEN trim(content) <> '' THEN '\[' || chr(10) || regexp_replace(content, '^\s+|\s+$', '', 'g') || chr(10) || '\]' ELSE '' END
-  WHEN 'table' THEN CASE WHEN len(rs) > 0 THEN '\begin{{center}}' || chr(10) || {TABULAR_SQL} || chr(10) || '\end{{center}}' ELSE '' END ELSE {tex_sql('content')} END"""
-_BODY = f"""(SELECT page, string_agg(tex, chr(10) || chr(10) ORDER BY run) AS body FROM (SELECT page, run, {_TEX} AS tex FROM (SELECT *, list_max(list_transform(rs, lambda r: len(r))) AS n FROM (SELECT *, {ROWS_SQL} AS rs FROM {_RUNS}))) WHERE tex <> '' GROUP BY page)"""
+def render_sql(source: str) -> str:
+    """The rendering of source (id, content) as (id, tex), for texts in which no dollar of a formula has a backslash before
+    it and a digit behind a dollar means money, and three dollars are none of a formula; chr(5) stands for a note, chr(3) for a formula."""
+    formula = r"\$\$[^$]*\$\$|\$[^$]*\$"
+    steps = [
+        (r"([^\n])\nP", r"\1' || chr(4) || '"), (r"(?m)^([^\n]+)\n(H)", r"\1' || chr(10) || chr(10) || '\2"), (r"(?m)^(P[^\n]*)\n([IE])", r"\1' || chr(10) || chr(10) || '\2"),
+        (r"(?m)^(I[^\n]*)\n(E)", r"\1' || chr(10) || chr(10) || '\2"), (r"(?m)^(E[^\n]*)\n(I)", r"\1' || chr(10) || chr(10) || '\2"),
+    ]
+    joined = "array_to_string(list_transform(string_split(marked, chr(10)), lambda l: coded(l)), chr(10))"
+    line = r"regexp_replace(regexp_replace(l, '[\t\f\v ]+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
+    code = rf"""list_transform([{line}], lambda v: CASE WHEN v = '' THEN '' WHEN regexp_matches(v, '^#{{1,6}}\s+.') THEN 'H' || least(3, length(regexp_extract(v, '^#+'))) || regexp_replace(v, '^#+\s+', '') || chr(10)
+      WHEN regexp_matches(v, '^[-*•]\s+.') THEN 'I' || regexp_replace(v, '^[-*•]\s+', '') WHEN regexp_matches(v, '^\d+[.)]\s+.') THEN 'E' || regexp_extract(v, '^\d+') || chr(6) || regexp_replace(v, '^\d+[.)]\s+', '') ELSE 'P' || v END)[1]"""
+    joined = joined.replace("coded(l)", code)
+    for pattern, to in steps:
+        joined = f"regexp_replace({joined}, '{pattern}', '{to}', 'g')"
+    inline = lambda v: rf"regexp_replace({tex_sql(v)}, '\*\*([^*\n\x04]+)\*\*', '\\textbf{{\1}}', 'g')"
+    block = rf"""CASE left(b, 1) WHEN 'H' THEN '\' || repeat('sub', CAST(b[2] AS INT) - 1) || 'section*{{' || {inline("substr(b, 3)")} || '}}'
+      WHEN 'I' THEN '\begin{{itemize}}' || chr(10) || array_to_string(list_transform(string_split(b, chr(10)), lambda x: '\item ' || {inline("substr(x, 2)")}), chr(10)) || chr(10) || '\end{{itemize}}'
+      WHEN 'E' THEN '\begin{{enumerate}}' || chr(10) || array_to_string(list_transform(string_split(b, chr(10)), lambda x: '\item[' || string_split(substr(x, 2), chr(6))[1] || '.] ' || {inline("string_split(x, chr(6))[2]")}), chr(10)) || chr(10) || '\end{{enumerate}}'
+      ELSE {inline("replace(substr(b, 2), chr(4), ' ')")} END"""
+    shown = r"CASE WHEN starts_with(f, '$$') THEN '\[' || chr(10) || trim(f, '$') || chr(10) || '\]' ELSE '\(' || trim(f, '$') || '\)' END"
+    return rf"""(SELECT id, replace(array_to_string(list_transform(range(1, len(string_split(t, chr(3))) + 1), lambda i: string_split(t, chr(3))[i] || coalesce(fs[i], '')), ''), chr(2), '\$') AS tex FROM (
+      SELECT id, fs, replace(replace(array_to_string(list_transform(bs, lambda b: {block}), chr(10) || chr(10)), chr(4), ' '), chr(5), '{{\small\itshape [' || {tex_sql("'" + X.REVIEW_NOTE + "'")} || ']}}') AS t FROM (
+        SELECT id, fs, list_filter(list_transform(string_split_regex({joined}, '\n{{2,}}'), lambda b: regexp_replace(b, '^\n|\n$', '', 'g')), lambda b: b <> '') AS bs FROM (
+          SELECT id, array_to_string(string_split_regex(z, '{formula}'), chr(3)) AS marked, list_transform(regexp_extract_all(z, '{formula}'), lambda f: {shown}) AS fs FROM (
+            SELECT id, regexp_replace(replace({_SOURCE("content")}, '$$$', repeat(chr(2), 3)), '\$(\d)', chr(2) || '\1', 'g') AS z FROM {source})))))"""
+
+
+_SOURCE = lambda v: rf"regexp_replace(regexp_replace(replace(replace({_STRIP(v)}, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '(?i)^`{{3}}(?:markdown|text|latex|tex)?\s*\n', ''), '\n\s*`{{3}}$', '')"
+_LINED = "(SELECT id, line AS content FROM fx_lines UNION ALL SELECT id + 1000000000, content FROM fx_fence UNION ALL SELECT 2000000000 + 1000 * page + ord, content FROM fx_notes WHERE category IN ('text', 'unknown'))"
+
+
+@query("x13_render_text", f"SELECT id, tex FROM {render_sql(_LINED)}")
+def x13(spark, d):
+    lines = fx(spark, d, "lines").select("id", F.col("line").alias("content")).unionByName(fx(spark, d, "fence").select((F.col("id") + 1_000_000_000).alias("id"), "content"))
+    notes = fx(spark, d, "notes").where("category IN ('text', 'unknown')").select((2_000_000_000 + 1000 * F.col("page") + F.col("ord")).alias("id"), "content")
+    return lines.unionByName(notes).select("id", latex.render_text(F.col("content")).alias("tex"))
+
+
+def _notes(spark, d):
+    """Units, pages and detected blocks of the documents in fx_notes."""
+    n = fx(spark, d, "notes")
+    units = n.withColumns({"doc": F.col("doc").cast("long"), "member_ids": F.array("member"), "quads": F.array().cast("array<array<double>>")})
+    pages = units.select("doc", "page", F.lit(PAGE_W).alias("page_w"), F.lit(PAGE_H).alias("page_h")).distinct()
+    return units.drop("member", "source_label"), pages, units.select("doc", "page", F.col("member").alias("id"), "source_label")
+
+
+_KEPT = "(SELECT *, CAST(doc AS BIGINT) AS d, (coalesce(status = 'uncertain', false) OR coalesce(mark_pdf, false)) AS noted FROM fx_notes WHERE coalesce(merged_into, '') = '' AND NOT ends_with(member, '_residual') AND source_label = 'text')"
+_SAID = rf"(SELECT * REPLACE (CASE WHEN category NOT IN ('text', 'unknown') THEN content ELSE src || CASE WHEN noted THEN CASE WHEN src <> '' THEN ' ' ELSE '' END || chr(5) ELSE '' END END AS content) FROM (SELECT *, {_SOURCE('content')} AS src FROM {_KEPT}))"
+_DOCRUNS = _RUNS_OF(f"(SELECT * FROM {_SAID} WHERE NOT (category IN ('text', 'unknown') AND content = '')) z", "d", "page, ord", "min_by(id, page * 1000 + ord) AS id, min_by(noted, page * 1000 + ord) AS noted, min_by(crop_path, page * 1000 + ord) AS crop_path, min_by(page, page * 1000 + ord) AS page, min_by(x2 - x1, page * 1000 + ord) AS width")
+_MATH = rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_STRIP('content')}, '^`{{3}}latex\s*|\s*`{{3}}$', '', 'g'), '^\$\$(.*)\$\$$', '\1'), '^\\\[(.*)\\\] \$(.*)\$$', '\1\\quad \2'), '\{{align\*\}}', '{{aligned}}', 'g'), '^\s+|\s+$', '', 'g')"
+_FIGURE = r"CASE WHEN crop_path = '' THEN '' ELSE '\begin{center}' || chr(10) || '\includegraphics[width=' || printf('%.3f', greatest(.25, least(1, width / 1000))) || '\linewidth,height=0.55\textheight,keepaspectratio]{assets/p' || printf('%04d', page) || '_' || id || '.png}' || chr(10) || '\end{center}' END"
+_MARKED = r"'{\small\itshape [' || " + tex_sql("'" + X.REVIEW_NOTE + "'") + " || ']}'"
+_DOCTEX = rf"""(SELECT d, run, category, CASE category WHEN 'text' THEN r.tex WHEN 'figure' THEN {_FIGURE} ELSE trim(CASE WHEN category = 'math' THEN CASE WHEN {_MATH} <> '' THEN '\[' || chr(10) || {_MATH} || chr(10) || '\]' ELSE '' END
+    WHEN contains(content, '\begin{{tabular') THEN '\begin{{center}}' || chr(10) || content || chr(10) || '\end{{center}}' WHEN len(rs) > 0 THEN '\begin{{center}}' || chr(10) || {TABULAR_SQL} || chr(10) || '\end{{center}}' ELSE {_FIGURE} END
+    || CASE WHEN noted THEN chr(10) || chr(10) || {_MARKED} ELSE '' END, chr(10)) END AS tex
+  FROM (SELECT *, list_max(list_transform(rs, lambda r: len(r))) AS n FROM (SELECT *, CASE WHEN starts_with(content, '<table>') THEN [['n', regexp_extract(content, 'n</td><td>([^<]*)</td>', 1)]] ELSE {ROWS_SQL} END AS rs FROM runs)) u
+  LEFT JOIN (SELECT id AS tid, tex FROM {render_sql("(SELECT d * 100000 + run AS id, content FROM runs WHERE category = 'text')")}) r ON r.tid = d * 100000 + run)"""
+_DOCBODY = f"(SELECT d AS doc, string_agg(tex, chr(10) || chr(10) ORDER BY run) AS body FROM {_DOCTEX} WHERE tex <> '' GROUP BY d)"
+
+
+@query("a11_document_body", f"WITH runs AS MATERIALIZED {_DOCRUNS} SELECT doc, body FROM {_DOCBODY}")
+def a11(spark, d):
+    return compose.body(compose.document_blocks(*_notes(spark, d), ["doc"], PAGE_W), ["doc"], "run", "tex")
 
 
-def _bodies(spark, d):
-    blocks = _runs(spark, d).withColumn("tex", compose.block_tex(F.col("category"), F.col("content")))
-    return compose.body(blocks, P, "run", "tex")
+_HEAD = " || chr(10) || ".join(f"'{x}'" for x in compose.PREAMBLE)
 
 
-@query("a11_document_body", f"SELECT page, body FROM {_BODY}")
-def a11(spark, d):
-    return _bodies(spark, d)
+@query("s10_document", rf"WITH runs AS MATERIALIZED {_DOCRUNS} SELECT t.doc, {_HEAD} || chr(10) || CASE WHEN t.doc % 3 = 0 THEN '' ELSE '\title{{Chat \#' || t.doc || '}}' || chr(10) || '\date{{}}' || chr(10) || '\maketitle' || chr(10) END || coalesce(body, '') || chr(10) || '\end{{document}}' || chr(10) AS tex FROM (SELECT DISTINCT CAST(doc AS BIGINT) AS doc FROM fx_notes) t LEFT JOIN {_DOCBODY} b ON b.doc = t.doc")
+def s10(spark, d):
+    units, pages, blocks = _notes(spark, d)
+    title = F.when(F.col("doc") % 3 == 0, "  ").otherwise(F.concat(F.lit(" Chat #"), F.col("doc")))
+    return compose.documents(units, pages, blocks, ["doc"], pages.select("doc").distinct().withColumn("title", title), PAGE_W)
 
 
-_HEAD = " || chr(10) || ".join(f"'{x}'" for x in compose.PREAMBLE)
+@query("s13_assets", "SELECT CAST(doc AS BIGINT) AS doc, page, id, crop_path AS source, 'assets/p' || printf('%04d', page) || '_' || id || '.png' AS asset FROM fx_notes WHERE category IN ('figure', 'table') AND crop_path <> '' AND coalesce(merged_into, '') = '' AND NOT ends_with(member, '_residual') AND source_label = 'text'")
+def s13_assets(spark, d):
+    units, _, blocks = _notes(spark, d)
+    return compose.assets(units, blocks, ["doc", "page"])
 
 
-@query("s10_document", rf"SELECT page, {_HEAD} || chr(10) || CASE WHEN page % 3 = 0 THEN '' ELSE '\title{{Chat \#' || page || '}}' || chr(10) || '\date{{}}' || chr(10) || '\maketitle' || chr(10) END || body || chr(10) || '\end{{document}}' || chr(10) AS tex FROM {_BODY}")
-def s10(spark, d):
-    title = F.when(F.col("page") % 3 == 0, "  ").otherwise(F.concat(F.lit(" Chat #"), F.col("page")))
-    return _bodies(spark, d).select("page", compose.document(title, F.col("body")).alias("tex"))
+@query("f08_unmerged", "SELECT page, id FROM fx_notes WHERE coalesce(merged_into, '') = ''")
+def f08(spark, d):
+    return compose.without_merged(_notes(spark, d)[0]).select("page", "id")
+
+
+@query("f09_review_note", "SELECT page, id, status = 'uncertain' OR mark_pdf AS noted FROM fx_notes")
+def f09(spark, d):
+    return _notes(spark, d)[0].select("page", "id", compose.needs_note(F.col("status"), F.col("mark_pdf")).alias("noted"))
 
 
 @query("x15_table_to_latex", rf"SELECT id, CASE WHEN contains(content, '\begin{{tabular') THEN trim(content) ELSE {TABULAR_SQL} END AS tex FROM (SELECT *, list_max(list_transform(rs, lambda r: len(r))) AS n FROM (SELECT id, content, {ROWS_SQL} AS rs FROM (SELECT id, CASE WHEN id % 50 = 7 THEN '\begin{{tabular}}' || content ELSE content END AS content FROM fx_pipe)))")
 def x15(spark, d):
     c = F.when(F.col("id") % 50 == 7, F.concat(F.lit("\\begin{tabular}"), "content")).otherwise(F.col("content"))
-    p = fx(spark, d, "pipe").select("id", c.alias("content"))
-    return p.select("id", F.when(F.contains("content", F.lit("\\begin{tabular")), X.strip(F.col("content"))).otherwise(X.tabular(X.pipe_rows(F.col("content")))).alias("tex"))
+    return fx(spark, d, "pipe").select("id", latex.table_tex(c).alias("tex"))
+
+
+# --- markup: rows are cut at their tags, cells at theirs
+_CELLS = r"""list_filter(list_transform(list_filter(string_split_regex(content, '(?i)<tr\b[^>]*>')[2:], lambda p: regexp_matches(p, '(?i)</tr\s*>')), lambda p:
+  list_transform(list_filter(string_split_regex(regexp_replace(p, '(?is)</tr\s*>.*$', ''), '(?i)<t[dh]\b[^>]*>')[2:], lambda c: regexp_matches(c, '(?i)</t[dh]\s*>')),
+    lambda c: trim(regexp_replace(replace(replace(regexp_replace(regexp_replace(c, '(?is)</t[dh]\s*>.*$', ''), '<[^>]*>', '', 'g'), '&lt;', '<'), '&amp;', '&'), '\s+', ' ', 'g')))), lambda r: len(r) > 0)"""
+
+
+@query("x16_html_rows", f"SELECT id, {_CELLS} AS cells FROM fx_html")
+def x16(spark, d):
+    return fx(spark, d, "html").select("id", latex.html_rows(F.col("content")).alias("cells"))
+
+
+@query("x15b_table_any", f"SELECT id, {TABULAR_SQL} AS tex FROM (SELECT *, list_max(list_transform(rs, lambda r: len(r))) AS n FROM (SELECT id, CASE WHEN contains(lower(content), '<table') AND len({_CELLS}) > 0 THEN {_CELLS} ELSE {ROWS_SQL} END AS rs FROM (SELECT id, content FROM fx_html UNION ALL SELECT id + 1000000000, content FROM fx_pipe)))")
+def x15b(spark, d):
+    both = fx(spark, d, "html").unionByName(fx(spark, d, "pipe").select((F.col("id") + 1_000_000_000).alias("id"), "content"))
+    return both.select("id", latex.table_tex(F.col("content")).alias("tex"))
 
 
 @query("w08_attempt_number", "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt FROM events")
@@ -369,14 +392,6 @@ def w10(spark, d):
     return report.thin_runs(v, P, "v", 2)
 
 
-@query("o02_closest", "SELECT a.page, a.id, (SELECT b.id FROM fx_blocks b WHERE b.page = a.page AND b.ord < a.ord ORDER BY abs(a.y1 - b.y1), abs(a.x1 - b.x1), b.id LIMIT 1) AS closest FROM fx_blocks a")
-def o02(spark, d):
-    b = fx(spark, d, "blocks").select("page", "ord", "id", "x1", "y1")
-    o = b.select("page", F.col("ord").alias("o_ord"), F.col("id").alias("o_id"), F.col("x1").alias("o_x1"), F.col("y1").alias("o_y1"))
-    j = b.join(o, "page").where("o_ord < ord").groupBy("page", "id").agg(F.min(F.struct(F.abs(F.col("y1") - F.col("o_y1")).alias("dy"), F.abs(F.col("x1") - F.col("o_x1")).alias("dx"), "o_id"))["o_id"].alias("closest"))
-    return b.select("page", "id").join(j, ["page", "id"], "left")
-
-
 @query("o05_cap_or_none", "SELECT page, id FROM (SELECT page, id, count(*) OVER (PARTITION BY page) AS n FROM fx_blocks WHERE category = 'figure') WHERE n <= 2")
 def o05(spark, d):
     return report.all_or_none(fx(spark, d, "blocks").where("category = 'figure'"), P, 2).select("page", "id")
@@ -394,11 +409,6 @@ def d02(spark, d):
     return report.fold_trace(trace, P)
 
 
-@query("d03_usable_boxes", "SELECT page, count(*) FILTER (starts_with(source_label, 'qwen_layout_')) AS usable FROM fx_blocks GROUP BY page")
-def d03(spark, d):
-    return fx(spark, d, "blocks").groupBy("page").agg(F.count_if(F.startswith("source_label", F.lit("qwen_layout_"))).alias("usable"))
-
-
 @query("r01_components", """
 WITH RECURSIVE reach AS (SELECT page, a, b FROM fx_edges UNION SELECT r.page, r.a, e.b FROM reach r JOIN fx_edges e ON e.page = r.page AND e.a = r.b)
 SELECT b.page, b.ord AS node, coalesce(min(r.a), b.ord) AS root FROM fx_blocks b LEFT JOIN reach r ON r.page = b.page AND r.b = b.ord GROUP BY b.page, b.ord""")
@@ -408,17 +418,17 @@ def r01(spark, d):
 
 
 @query("w07_batch_packing", """
-WITH RECURSIVE c AS (SELECT doc_id // 50 AS doc, doc_id % 50 AS ord, 1 + doc_id % 5 AS units, length(text) % 9000 + 3 * CASE WHEN doc_id % 17 = 0 THEN 5000 ELSE 0 END AS chars, (doc_id % 50) // 12 AS page FROM documents),
+WITH RECURSIVE c AS (SELECT doc_id // 50 AS doc, doc_id % 50 AS ord, 1 + doc_id % 5 AS units, length(text) % 9000 + 3 * CASE WHEN doc_id % 17 = 0 THEN 5000 ELSE 0 END AS chars, (doc_id % 50) // 12 AS page, 100 + doc_id * 13 % 1500 AS wide, 42 + doc_id * 7 % 2000 AS tall FROM documents),
 fold AS (
-  SELECT doc, CAST(-1 AS BIGINT) AS ord, CAST(-1 AS BIGINT) AS batch, CAST(-1 AS BIGINT) AS open, CAST(0 AS BIGINT) AS u, CAST(0 AS BIGINT) AS ch, CAST(-1 AS BIGINT) AS pg FROM (SELECT DISTINCT doc FROM c)
+  SELECT doc, CAST(-1 AS BIGINT) AS ord, CAST(-1 AS BIGINT) AS batch, CAST(-1 AS BIGINT) AS open, CAST(0 AS BIGINT) AS u, CAST(0 AS BIGINT) AS ch, CAST(-1 AS BIGINT) AS pg, CAST(0 AS BIGINT) AS wd, CAST(0 AS BIGINT) AS tl FROM (SELECT DISTINCT doc FROM c)
   UNION ALL
-  SELECT f.doc, c.ord, CASE WHEN skip THEN -1 WHEN new THEN open + 1 ELSE open END, CASE WHEN skip OR NOT new THEN open ELSE open + 1 END, CASE WHEN skip THEN u WHEN new THEN c.units ELSE u + c.units END, CASE WHEN skip THEN ch WHEN new THEN c.chars ELSE ch + c.chars END, CASE WHEN skip THEN pg ELSE c.page END
-  FROM fold f JOIN c ON c.doc = f.doc AND c.ord = f.ord + 1, LATERAL (SELECT c.units > 4 OR c.chars > 12000 AS skip, open < 0 OR u + c.units > 6 OR ch + c.chars > 12000 OR c.page <> pg AS new))
+  SELECT f.doc, c.ord, CASE WHEN skip THEN -1 WHEN new THEN open + 1 ELSE open END, CASE WHEN skip OR NOT new THEN open ELSE open + 1 END, CASE WHEN skip THEN u WHEN new THEN c.units ELSE u + c.units END, CASE WHEN skip THEN ch WHEN new THEN c.chars ELSE ch + c.chars END, CASE WHEN skip THEN pg ELSE c.page END, CASE WHEN skip THEN wd WHEN new THEN c.wide ELSE greatest(wd, c.wide) END, CASE WHEN skip THEN tl WHEN new THEN c.tall ELSE tl + c.tall END
+  FROM fold f JOIN c ON c.doc = f.doc AND c.ord = f.ord + 1, LATERAL (SELECT c.units > 4 OR c.chars > 12000 OR greatest(320, c.wide + 16) * c.tall > 3000000 AS skip, open < 0 OR u + c.units > 6 OR ch + c.chars > 12000 OR c.page <> pg OR greatest(320, greatest(wd, c.wide) + 16) * (tl + c.tall) > 3000000 AS new))
 SELECT doc, ord, batch FROM fold WHERE ord >= 0""")
 def w07(spark, d):
     t = _t(spark, d, "documents")
     i = F.col("doc_id")
-    c = t.select(F.floor(i / 50).cast("long").alias("doc"), (i % 50).alias("ord"), (1 + i % 5).alias("units"), (F.length("text") % 9000 + F.when(i % 17 == 0, 15000).otherwise(0)).cast("long").alias("chars"), F.floor(i % 50 / 12).cast("long").alias("page"))
+    c = t.select(F.floor(i / 50).cast("long").alias("doc"), (i % 50).alias("ord"), (1 + i % 5).alias("units"), (F.length("text") % 9000 + F.when(i % 17 == 0, 15000).otherwise(0)).cast("long").alias("chars"), F.floor(i % 50 / 12).cast("long").alias("page"), (100 + i * 13 % 1500).alias("wide"), (42 + i * 7 % 2000).alias("tall"))
     return review.pack_batches(c, "doc").select("doc", "ord", "batch")
 
 
@@ -441,20 +451,3 @@ def g22(spark, d):
     return fx(spark, d, "blocks").groupBy("page").agg(F.round(F.degrees(F.atan2(F.sum(F.sin(a)), F.sum(F.cos(a)))), 6).alias("angle"))
 
 
-@query("j04_overlapping_quads", f"SELECT b.page, bool_or({_SH} >= greatest(4, .02 * least((b.x2 - b.x1) * (b.y2 - b.y1), (o.x2 - o.x1) * (o.y2 - o.y1)))) AS overlapping FROM fx_blocks b JOIN fx_blocks o ON b.page = o.page AND b.ord < o.ord GROUP BY b.page")
-def j04(spark, d):
-    b = fx(spark, d, "blocks").select("page", "ord", "x1", "y1", "x2", "y2")
-    o = b.select("page", *(F.col(c).alias(f"o_{c}") for c in ("ord", "x1", "y1", "x2", "y2")))
-    a, c = layout.box_of(), layout.box_of("o_")
-    return b.join(o, "page").where("ord < o_ord").groupBy("page").agg(F.bool_or(G.intersection_area(a, c) >= F.greatest(F.lit(4.0), 0.02 * F.least(G.area(a), G.area(c)))).alias("overlapping"))
-
-
-@query("p03_words_to_blocks", "SELECT id, printf('p%04d_q%04d', 1, id) AS block_id, least(q[1], q[3], q[5], q[7]) AS x1, least(q[2], q[4], q[6], q[8]) AS y1, greatest(q[1], q[3], q[5], q[7]) AS x2, greatest(q[2], q[4], q[6], q[8]) AS y2, CAST(0.95 AS DOUBLE) AS score FROM (SELECT id, quad AS q FROM fx_quads)")
-def p03(spark, d):
-    e = G.envelope(F.col("quad"))
-    return fx(spark, d, "quads").select("id", F.format_string("p%04d_q%04d", F.lit(1), "id").alias("block_id"), *(e[c].alias(c) for c in ("x1", "y1", "x2", "y2")), F.lit(0.95).alias("score"))
-
-
-@query("p07_router_state", "SELECT page, id, round(score, 4) AS score, length(source_label) AS chars FROM fx_blocks")
-def p07(spark, d):
-    return fx(spark, d, "blocks").select("page", "id", F.round("score", 4).alias("score"), F.length("source_label").alias("chars"))

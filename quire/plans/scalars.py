@@ -301,11 +301,6 @@ def x21(spark, d):
     return fx(spark, d, "fence").select("id", X.clean_json(F.col("content")).alias("json"))
 
 
-@query("x14_review_note", f"SELECT id, content || ' ' || '{{\\small\\itshape [' || {tex_sql(chr(39) + X.REVIEW_NOTE + chr(39))} || ']}}' AS noted FROM fx_tex WHERE id % 3 = 0")
-def x14(spark, d):
-    return fx(spark, d, "tex").where("id % 3 = 0").select("id", F.concat_ws(" ", "content", X.review_note()).alias("noted"))
-
-
 @query("p10_figure_width", "SELECT page, id, printf('%.3f', CAST(greatest(.25, least(1, (x2 - x1) / greatest(1, 300 + pk % 2000))) AS DOUBLE)) AS fraction FROM fx_blocks")
 def p10(spark, d):
     return fx(spark, d, "blocks").select("page", "id", X.figure_fraction(F.col("x2") - F.col("x1"), (300 + F.col("pk") % 2000).cast("double")).alias("fraction"))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from quire.functions import geometry as G
 from quire.functions import latex
+from quire.functions import polygons as P
 from quire.functions import text as X
-from quire.operators import compose, decode, images, layout, report, review
+from quire.operators import calls, compose, decode, images, layout, report, review
 from quire.sources import provider
 
 W, H = 1000, 1400
@@ -80,12 +81,109 @@ def test_reading_order():
     assert sorted(order(*many)) == [b[0] for b in many]
 
 
-def test_polygon_clip():
+def plain_order(boxes, w):
+    """Reading order from its definition: a recursion over lists."""
+    def gaps(spans):
+        spans, out, top = sorted(spans), [], None
+        for a, b in spans:
+            if top is not None and a > top:
+                out.append((top, a))
+            top = b if top is None else max(top, b)
+        return out
+
+    if len(boxes) < 2:
+        return [b[0] for b in boxes]
+    for a, c in sorted(gaps([(b[1], b[3]) for b in boxes]), key=lambda g: (g[0] - g[1], g[0])):
+        one, two = [b for b in boxes if b[3] <= a], [b for b in boxes if b[1] >= c]
+        extent = lambda s: (min(b[1] for b in s), min(b[2] for b in s), max(b[3] for b in s), max(b[4] for b in s))
+        if c - a >= 0.035 * w:
+            p, q = extent(one), extent(two)
+            if min(p[2] - p[0], q[2] - q[0]) >= 0.12 * w and min(p[3], q[3]) > max(p[1], q[1]):
+                return plain_order(one, w) + plain_order(two, w)
+    rows = gaps([(b[2], b[4]) for b in boxes])
+    if rows:
+        middles = [(p[3] + q[1]) / 2 for p in boxes for q in boxes if min(p[3] - p[1], q[3] - q[1]) >= 0.12 * w and min(p[4], q[4]) > max(p[2], q[2]) and q[1] - p[3] >= 0.035 * w]
+        spans = [b for b in boxes if b[3] - b[1] >= 0.6 * w or any(b[1] < m < b[3] for m in middles)]
+        top, low = max(rows, key=lambda g: (any(b[4] == g[0] or b[2] == g[1] for b in spans), g[1] - g[0], -g[0]))
+        return plain_order([b for b in boxes if b[4] <= top], w) + plain_order([b for b in boxes if b[2] >= low], w)
+    return [b[0] for b in sorted(boxes, key=lambda b: (b[2], b[1], b[0]))]
+
+
+def test_reading_order_equals_plain():
+    rnd = random.Random(7)
+    for n in range(300):
+        step = rnd.choice((1, 25, 50))
+        cut = lambda v: v // step * step  # noqa: B023, E731
+        boxes = [(f"{k:02d}", float(x := cut(rnd.randrange(900))), float(y := cut(rnd.randrange(1300))), float(x + max(step, cut(rnd.randrange(5, 700)))), float(y + max(step, cut(rnd.randrange(5, 150))))) for k in range(rnd.randrange(1, 14))]
+        assert layout.reading_order(boxes, W) == plain_order(boxes, W), n
+
+
+def test_shared_areas():
     square = [(0, 0), (10, 0), (10, 10), (0, 10)]
-    assert layout.clip_area(square, [(5, 5), (15, 5), (15, 15), (5, 15)]) == 25
-    assert layout.clip_area(square, [(5, -5), (15, 5), (5, 15), (-5, 5)]) == pytest.approx(100)
-    assert layout.clip_area(square, [(20, 20), (30, 20), (30, 30), (20, 30)]) == 0
-    assert layout.clip_area(square, square[::-1]) == 100
+    others = [[(5, 5), (15, 5), (15, 15), (5, 15)], [(5, -5), (15, 5), (5, 15), (-5, 5)], [(20, 20), (30, 20), (30, 30), (20, 30)], square[::-1], [(2, 2), (4, 2), (4, 4), (2, 4)]]
+    got = P.shared_area(np.array([square] * 5, float), np.array(others, float))
+    assert got == pytest.approx([25, 100, 0, 100, 4])
+    rnd = np.random.default_rng(3)
+    angle, scale, at = rnd.uniform(0, 6.3, (2, 60, 1)), rnd.uniform(5, 40, (2, 60, 2)), rnd.uniform(0, 60, (2, 60, 1, 2))
+    corner = np.array([(-1, -1), (1, -1), (1, 1), (-1, 1)], float)
+    x, y = corner[:, 0] * scale[..., :1], corner[:, 1] * scale[..., 1:]
+    quads = np.stack([x * np.cos(angle) - y * np.sin(angle), x * np.sin(angle) + y * np.cos(angle)], axis=-1) + at
+    grid = np.stack(np.meshgrid(np.arange(-60, 130, 0.5), np.arange(-60, 130, 0.5)), axis=-1).reshape(-1, 2)
+
+    def inside(q):
+        e = np.roll(q, -1, axis=0) - q
+        return np.logical_and.reduce([e[k, 0] * (grid[:, 1] - q[k, 1]) - e[k, 1] * (grid[:, 0] - q[k, 0]) >= 0 for k in range(4)])
+
+    counted = [(inside(p) & inside(q)).sum() / 4 for p, q in zip(*quads, strict=True)]
+    assert P.shared_area(*quads) == pytest.approx(counted, rel=0.05, abs=25)
+    assert P.shared_area(quads[0][:, ::-1], quads[1]) == pytest.approx(P.shared_area(*quads)) == P.shared_area(quads[0], quads[1][:, ::-1])
+    assert len(P.shared_area(np.zeros((0, 4, 2)), np.zeros((0, 4, 2)))) == 0
+
+
+def plain_survivors(blocks):
+    """Ids of axis-aligned blocks that stay, one by one."""
+    shared = lambda a, b: max(0, min(a[7], b[7]) - max(a[5], b[5])) * max(0, min(a[8], b[8]) - max(a[6], b[6]))
+    size = lambda a: max(1, (a[7] - a[5]) * (a[8] - a[6]))
+    left = [a for a in blocks if a[2] != "text" or not any(b[2] in ("figure", "table") and b[1] != a[1] and shared(a, b) / size(a) >= 0.82 for b in blocks)]
+    kept = []
+    for a in sorted(left, key=lambda a: (-a[4], a[1])):
+        rivals = [b for b in kept if b[2] == a[2] and abs((a[6] + a[8] - b[6] - b[8]) / 2) <= 0.15 * min(a[8] - a[6], b[8] - b[6])]
+        if not any(shared(a, b) / max(size(a), size(b)) >= 0.9 for b in rivals):
+            kept.append(a)
+    return {a[1] for a in kept}
+
+
+def test_surviving_equals_plain(spark):
+    rnd, rows = random.Random(9), []
+    for page in range(40):
+        for k in range(rnd.randrange(1, 14)):
+            x, y = rnd.randrange(0, 300, 20), rnd.randrange(0, 300, 20)
+            b = block(f"b{k:02d}", rnd.choice(("text", "text", "figure", "math")), x, y, x + rnd.randrange(100, 400, 50), y + rnd.randrange(20, 120, 20), rnd.choice((0.5, 0.9)))
+            rows += [(page, *b[1:])]
+            if rnd.random() < 0.4:
+                rows.append((page, f"c{k:02d}", *b[2:4], rnd.choice((0.5, 0.9)), b[5], b[6], b[7] + rnd.choice((0.0, 2.0)), b[8], None))
+    got = {(r.page, r.id) for r in layout.greedy_nms(spark.createDataFrame(rows, BLOCK), "page").collect()}
+    assert got == {(p, i) for p in range(40) for i in plain_survivors([r for r in rows if r[0] == p])}
+
+
+def test_polygons_in_joins_and_units(spark):
+    diamond = [100.0, 0.0, 200.0, 100.0, 100.0, 200.0, 0.0, 100.0]
+    rows = [block("f", "figure", 0, 0, 200, 200, quad=diamond), block("t", "text", 5, 5, 45, 25), block("u", "text", 80, 80, 120, 120), block("v", "text", 80, 80, 120, 120)]
+    df = spark.createDataFrame(rows, BLOCK)
+    assert {r.id for r in layout.without_absorbed_text(df, ["page"]).collect()} == {"f", "t"}
+    assert [(r.id, r.o_id) for r in layout.duplicate_pairs(df, ["page"]).collect()] == [("u", "v")]
+    tilt = [100.0, 100.0, 900.0, 140.0, 900.0, 170.0, 100.0, 130.0]
+    two = layout.build_units(spark.createDataFrame([block("a", "text", 100, 100, 900, 170, quad=tilt), block("b", "text", 100, 180, 900, 210)], BLOCK), "page", W, H)
+    quads = {tuple(r.member_ids): r.quads for r in two.collect()}
+    assert sum(map(len, quads.values())) == 1 + (("a", "b") in quads)
+    flow = layout.flow_boxes(two.where("array_contains(member_ids, 'a')")).first()
+    assert flow.y1 == pytest.approx(100 + 20 - 0, abs=6) and flow.y2 < 171
+
+
+def test_paragraph_of_the_last_line(spark):
+    rows = [(1, 0, "text", 60.0, 100.0, 900.0, 190.0, ["a", "b", "c"], []), (1, 1, "text", 60.0, 195.0, 900.0, 225.0, ["d"], []), (1, 2, "text", 60.0, 290.0, 900.0, 320.0, ["e"], [])]
+    df = spark.createDataFrame(rows, "page long, ord long, category string, x1 double, y1 double, x2 double, y2 double, member_ids array<string>, quads array<array<double>>")
+    assert [r.paragraph for r in compose.with_paragraphs(df, ["page"], ["ord"], W, H).orderBy("ord").collect()] == [True, False, True]
 
 
 def test_paragraphs(spark):
@@ -110,9 +208,11 @@ def test_costs(spark):
 
 
 def test_batches():
-    assert review.pack([(1, 10, p) for p in (0, 0, 0, 0, 1, 1, 1)], 3) == [0, 0, 0, 1, 2, 2, 2]
-    assert review.pack([(1, 9, 0)] * 5 + [(2, 9, 0)]) == [0, 0, 0, 0, 0, 1]
-    assert review.pack([(5, 1, 0), (2, 13_000, 0), (1, 1, 0)]) == [-1, -1, 0]
+    of = lambda rows, *a: review.pack([(*r, 100, 50) for r in rows], *a)
+    assert of([(1, 10, p) for p in (0, 0, 0, 0, 1, 1, 1)], 3) == [0, 0, 0, 1, 2, 2, 2]
+    assert of([(1, 9, 0)] * 5 + [(2, 9, 0)]) == [0, 0, 0, 0, 0, 1]
+    assert of([(5, 1, 0), (2, 13_000, 0), (1, 1, 0)]) == [-1, -1, 0]
+    assert review.pack([(1, 1, 0, 1000, 1500), (1, 1, 0, 100, 1500), (1, 1, 0, 1900, 2000)]) == [0, 1, -1]
 
 
 def test_apply_keeps_drafts(spark):
@@ -144,33 +244,73 @@ def test_scores(spark):
     assert [round(r[0], 6) for r in df.select(X.validate(F.col("category"), F.col("s"))).collect()] == [1.0, 1.0, 0.9, 0.82, 0.45, 0.0]
 
 
-@pytest.mark.parametrize(("text", "tex"), [
-    ("Prezzi $5 e $10", "Prezzi \\$5 e \\$10"), ("Costo $5 e formula $x=1$.", "Costo \\$5 e formula \\(x=1\\)."), ("# T\n- a\n  more\n- **b**\n3. c\n4) d", "\\section*{T}\n\n\\begin{itemize}\n\\item a more\n\\item \\textbf{b}\n\\end{itemize}\n\n\\begin{enumerate}\n\\item[3.] c\n\\item[4.] d\n\\end{enumerate}"),
-    ("one\ntwo\n\nthree", "one two\n\nthree"), ("a $$x$$ b", "a \\[\nx\n\\] b"), ("", ""),
-])
-def test_render_text(text, tex):
-    assert latex.render_text(text) == tex
+def on(spark, f, *values):
+    df = spark.createDataFrame([values], ", ".join(f"c{k} string" for k in range(len(values))))
+    return df.select(f(*(F.col(f"c{k}") for k in range(len(values)))).alias("x")).first().x
 
 
-@pytest.mark.parametrize(("raw", "clean"), [
-    ("$x$", "x"), ("$$x$$", "x"), ("\\[x\\]", "x"), ("\\(x\\)", "x"), ("```latex\nx\n```", "x"), ("$a$ $b$", "a\\quad b"), ("\\begin{equation}x\\end{equation}", "x"), ("\\begin{align*}x\\end{align*}", "\\begin{aligned}x\\end{aligned}"), ("\\\\\\begin{gather}x\\end{gather}", "\\\\\\begin{gathered}x\\end{gathered}"), ("$a$ b", "$a$ b"),
+@pytest.mark.parametrize(("text", "tex"), [
+    ("Prezzi $5 e $10", "Prezzi \\$5 e \\$10"), ("Costo $5 e formula $x=1$.", "Costo \\$5 e formula \\(x=1\\)."), ("# T\n- a\n  more\n- **b**\n3. c\n4) d", "\\section*{T}\n\n\\begin{itemize}\n\\item a more\n\\item \\textbf{b}\n\\end{itemize}\n\n\\begin{enumerate}\n\\item[3.] c\n\\item[4.] d\n\\end{enumerate}"),
+    ("one\ntwo\n\nthree", "one two\n\nthree"), ("a $$x$$ b", "a \\[\nx\n\\] b"), ("", ""), ("a \x005\x00 b \x000\x00 $y$", "a \x005\x00 b \x000\x00 \\(y\\)"), ("p **b\nc** q", "p \\textbf{b c} q"), ("- p **b\nc** q", "\\begin{itemize}\n\\item p **b c** q\n\\end{itemize}"),
+    ("x\n#### deep\ny\n####### no", "x\n\n\\subsubsection*{deep}\n\ny \\#\\#\\#\\#\\#\\#\\# no"), ("**bold $a*b$ on**", "\\textbf{bold \\(a*b\\) on}"), ("\\begin{align*}a&b\\end{align*}", "\\[\n\\begin{aligned}a&b\\end{aligned}\n\\]"), ("\x01 \\x", "\x01 \\textbackslash{}x"),
+    ("1. a\n- b\n\n- c", "\\begin{enumerate}\n\\item[1.] a\n\\end{enumerate}\n\n\\begin{itemize}\n\\item b\n\\end{itemize}\n\n\\begin{itemize}\n\\item c\n\\end{itemize}"), ("$a\nb$ c", "\\(a\nb\\) c"),
 ])
-def test_clean_math(raw, clean):
-    assert latex.clean_math(raw) == clean
+def test_render_text(spark, text, tex):
+    assert on(spark, latex.render_text, text) == tex
 
 
-def test_syntax():
-    ok = ["x", "\\begin{cases}a\\end{cases}", "$x$", "\\{ x"]
-    bad = ["{x", "\\begin{itemize}x\\end{itemize}", "\\begin{cases}x", "\\begin{cases}\\end{array}", "$x", "\\(a\\]", "\\( \\( x"]
-    assert [latex.math_syntax_error(x) for x in ok] == [None] * 4 and all(map(latex.math_syntax_error, bad))
-    assert latex.syntax_error("text", "so $\\frac{a}{b}$ and C:\\alpha\\x.txt") is None
-    assert latex.syntax_error("text", "so \\alpha") == "mathematical command outside a math delimiter"
+def test_render_long_texts(spark):
+    """No pattern needs a stack that grows with the text."""
+    long = "word $x$ " * 40_000 + "$" + "y \\\\ " * 40_000 + "$ " + "a" * 100_000
+    assert len(on(spark, latex.render_text, long)) > 400_000
+    assert on(spark, latex.math_syntax_error, "{" * 20_000 + "}" * 20_000) is None
 
 
-def test_tables():
-    assert latex.table_tex("| a | b |\n|---|---|\n| 1 | 2 |\n|x|") == "\\begin{tabular}{|l|l|}\n\\hline\na & b \\\\ \\hline\n1 & 2 \\\\ \\hline\nx &  \\\\ \\hline\n\\end{tabular}"
-    assert latex.html_rows("<table><tr><th> a  b</th><td>&lt;</td></tr><tr></tr></table>") == [["a b", "<"]]
-    assert latex.table_tex("no table") == ""
+@pytest.mark.parametrize(("raw", "clean"), [
+    ("$x$", "x"), ("$$x$$", "x"), ("\\[x\\]", "x"), ("\\(x\\)", "x"), ("```latex\nx\n```", "x"), ("$a$ $b$", "a\\quad b"), ("\\begin{equation}x\\end{equation}", "x"), ("\\begin{align*}x\\end{align*}", "\\begin{aligned}x\\end{aligned}"), ("\\\\\\begin{gather}x\\end{gather}", "\\\\\\begin{gathered}x\\end{gathered}"), ("$a$ b", "$a$ b"), ("\\[a\\] b \\[c\\]", "\\[a\\] b \\[c\\]"), ("$$", ""),
+])
+def test_clean_math(spark, raw, clean):
+    assert on(spark, latex.clean_math, raw) == clean
+
+
+def test_syntax(spark):
+    ok = ["x", "\\begin{cases}a\\end{cases}", "$x$", "\\{ x", "\\begin{cases}\\begin{array}x\\end{array}\\end{cases}", "$$a$$ \\[b\\]"]
+    bad = {"{x": "unbalanced LaTeX braces", "\\begin{itemize}x\\end{itemize}": "non-mathematical LaTeX environment", "\\begin{cases}x": "unclosed LaTeX environment", "\\begin{cases}\\end{array}": "mismatched LaTeX environments", "$x": "unclosed math delimiter", "\\(a\\]": "mismatched math delimiters", "\\( \\( x": "nested math delimiters", "$$a$": "nested or mismatched math delimiters", "a\\)": "mismatched math delimiters"}
+    df = spark.createDataFrame([(x,) for x in [*ok, *bad]], "s string")
+    got = {r.s: r.e for r in df.select("s", latex.math_syntax_error(F.col("s")).alias("e")).collect()}
+    assert got == {**dict.fromkeys(ok), **bad}
+    text = lambda s: on(spark, latex.syntax_error, "text", s)
+    assert text("so $\\frac{a}{b}$ and C:\\alpha\\x.txt") is None and text("plain {words") is None and on(spark, latex.syntax_error, "table", "{") is None
+    assert text("so \\alpha") == "mathematical command outside a math delimiter" and text("so $x") == "unclosed inline math delimiter" and text("so ${x$") == "unbalanced LaTeX braces"
+
+
+def test_tables(spark):
+    assert on(spark, latex.table_tex, "| a | b |\n|---|---|\n| 1 | 2 |\n|x|") == "\\begin{tabular}{|l|l|}\n\\hline\na & b \\\\ \\hline\n1 & 2 \\\\ \\hline\nx &  \\\\ \\hline\n\\end{tabular}"
+    rows = lambda s: on(spark, latex.html_rows, s)
+    assert rows("<table><tr><th> a  b</th><td>&lt;&#233;&#x20ac;&#xzz;</td></tr><tr></tr></table>") == [["a b", "<é€&#xzz;"]]
+    assert rows("<TR><TD a='1'>x<b>y</b></TD>out<td>never closed</tr><tr><td>no end") == [["xy"]] and rows("<!-- <tr><td>a</td></tr> -->") == []
+    assert on(spark, latex.table_tex, "no table") == "" and on(spark, latex.table_tex, "```latex\n\\begin{tabular}{l}a\\end{tabular}\n```") == "\\begin{tabular}{l}a\\end{tabular}"
+
+
+def test_documents(spark):
+    box = lambda k: (60.0, 60.0 + 40 * k, 900.0, 90.0 + 40 * k)
+    units = [
+        ("u0", 0, "text", "# Title", "", ["b0"], "verified", False, None, 0), ("u1", 0, "text", "one $x$", "", ["b1"], "uncertain", False, None, 1), ("u2", 0, "text", "gone", "", ["b2"], "corrected", False, "u1", 2), ("u3", 0, "text", "paper", "", ["b_residual"], "verified", False, None, 3),
+        ("u4", 0, "math", "$$y$$", "", ["b4"], "not_reviewed", True, None, 4), ("u5", 0, "table", "no rows", "c/t.PNG", ["b5"], "verified", False, "", 5), ("u6", 0, "figure", "", "c/f.png", ["b6"], "verified", False, None, 6), ("u7", 0, "text", "ends", "", ["b7"], "verified", False, None, 25),
+        ("u8", 1, "unknown", "here", "", ["b8"], "verified", False, None, 0), ("u9", 1, "text", "", "", ["b9"], "uncertain", False, None, 9), ("ua", 1, "text", "dropped", "", ["ba"], "verified", False, None, 12),
+    ]
+    rows = [(1, p, i, c, t, crop, m, s, mark, into, [], *box(k)) for i, p, c, t, crop, m, s, mark, into, k in units]
+    df = spark.createDataFrame(rows, "doc long, page long, id string, category string, content string, crop_path string, member_ids array<string>, status string, mark_pdf boolean, merged_into string, quads array<array<double>>, x1 double, y1 double, x2 double, y2 double")
+    pages = spark.createDataFrame([(1, 0, 1000, 1400), (1, 1, 1000, 1400)], "doc long, page long, page_w long, page_h long")
+    blocks = spark.createDataFrame([(1, 1, "ba", "whole_page_no_text")], "doc long, page long, id string, source_label string")
+    note = "{\\small\\itshape [" + X.REVIEW_NOTE + "]}"
+    picture = lambda f: "\\begin{center}\n\\includegraphics[width=0.840\\linewidth,height=0.55\\textheight,keepaspectratio]{assets/p0000_" + f + ".png}\n\\end{center}"
+    want = "\n\n".join(["\\section*{Title}", "one \\(x\\) " + note, "\\[\ny\n\\]", note, picture("u5"), picture("u6"), "ends here", note])
+    titles = spark.createDataFrame([(1, " "), (2, "T_1")], "doc long, title string")
+    got = {r.doc: r.tex for r in compose.documents(df, pages, blocks, ["doc"], titles, W).collect()}
+    head = "\n".join(compose.PREAMBLE) + "\n"
+    assert got[1] == head + want + "\n\\end{document}\n" and got[2] == head + "\\title{T\\_1}\n\\date{}\n\\maketitle\n\n\\end{document}\n"
+    assert {(r.id, r.source, r.asset) for r in compose.assets(df, blocks, ["doc", "page"]).collect()} == {("u5", "c/t.PNG", "assets/p0000_u5.png"), ("u6", "c/f.png", "assets/p0000_u6.png")}
 
 
 @pytest.mark.parametrize("bad", ["1,2,3,4", "1,2,3,4,5,6", "1,2,a,4,5", "text\n1,2,3,4,5", "1,2,3,4,5\n1,2,3", "nan,2,3,4,5", "1,2,0,4,5", "1,2,3,4,91", "1001,2,3,4,5"])
@@ -185,13 +325,86 @@ def test_provider_search():
     assert provider.find_words({"words_info": [], "b": {"words_info": [{"x": 1}]}}) == []
     assert len(provider.find_positions({"pos_list": [{"location": [1]}, {"location": [1]}, {"q": 1}], "c": {"bbox": [2]}})) == 2
     assert provider.redact({"API-Key": "s", "t": ["a s b", "data:image/png;base64,AA"]}, "s", True) == {"API-Key": "[REDACTED]", "t": ["a [REDACTED] b", "data:image/png;base64,[OMITTED]"]}
-    assert provider.gate(400, '{"usage": {"input_tokens": 3}}') == ("HTTP 400", {"input_tokens": 3})
+
+
+def test_review_messages(spark):
+    import json
+
     good = {"id": "a", "text": "t", "category": "text", "status": "verified", "issues": []}
+    units = [good, {**good, "x": 1}, {**good, "issues": [" "]}, {**good, "source_ids": []}, 5, {**good, "text": 1}, {**good, "id": "b", "source_ids": ["b", "c"], "issues": ["i"] * 13}, {**good, "id": "d", "source_ids": ["d", "e"], "issues": ["i"]}]
+    bodies = [(1, json.dumps({"units": units})), (2, '{"units": [], "more": 1}'), (3, "x"), (4, "```json\n" + json.dumps({"units": [good]}) + "\n```"), (5, '{"units": []}')]
+    got: dict = {}
+    for r in provider.review_records(spark.createDataFrame(bodies, "doc long, body string"), ["doc"]).collect():
+        got.setdefault(r.doc, {})[r.ord] = r
+    schema, kinds = "Review record has an invalid schema", "Review record has invalid field types"
+    assert [got[1][k].error for k in range(8)] == [None, schema, kinds, "a: invalid source_ids", schema, kinds, kinds, None]
+    assert got[1][0].sources == ["a"] and got[1][6].declared == ["b", "c"] and got[1][7].sources == ["d", "e"] and got[1][5].declared == ["a"]
+    assert got[2][None].error == "Review response must contain only a units array" and got[3][None].error == "Review response is not a JSON object"
+    assert got[4][0].error is None and 5 not in got
+    gate = spark.createDataFrame([(400, '{"usage": {"input_tokens": 3}}'), (200, "[]"), (200, "x"), (200, '{"choices": [{"message": {"content": "y"}}]}')], "s int, b string")
+    assert [(r[0], r[1]) for r in gate.select(provider.response_error(F.col("s"), F.col("b")), provider.response_usage(F.col("b"))).collect()] == [("HTTP 400", '{"input_tokens":3}'), ("not an object", "{}"), ("not JSON", "{}"), (None, "{}")]
+
+
+def test_calls(spark):
     import json
 
-    recs, errors = provider.parse_records(json.dumps({"units": [good, {**good, "x": 1}, {**good, "issues": [" "]}, {**good, "source_ids": []}, 5]}))
-    assert [r["source_ids"] for r in recs] == [["a"]] and len(errors) == 4
-    assert provider.parse_records('{"units": [], "more": 1}')[1] and provider.parse_records("x")[1]
+    said = []
+
+    def send(payload):
+        said.append(calls.VENDOR_FIELD in payload)
+        if calls.VENDOR_FIELD in payload:
+            raise RuntimeError("HTTP 400: unknown field ocr_options")
+        return "{}"
+
+    ask = calls.Negotiated(send)
+    assert ask({"m": 1}, "t") == ask({"m": 1, calls.VENDOR_FIELD: 1}, "t") == "{}" and said == [True, False, False]
+    with pytest.raises(RuntimeError):
+        calls.Negotiated(lambda p: (_ for _ in ()).throw(RuntimeError("HTTP 500")))({}, "t")
+
+    def read(crop, category, task):
+        if crop == "bad":
+            raise OSError("gone")
+        return json.dumps({"choices": [{"message": {"content": f"{crop} {task}"}}], "usage": {"input_tokens": 2}})
+
+    units = spark.createDataFrame([(1, "text", "a"), (2, "math", "bad"), (3, "table", "c")], "id long, category string, crop string")
+    got = {r.id: r for r in calls.decoded(units, ["id"], "ocr", read, 2).collect()}
+    assert got[1].ocr == "a document_parsing" and got[1].ocr_usage == '{"input_tokens": 2}' and got[1].ocr_error is None
+    assert got[2].ocr is None and got[2].ocr_error == "OSError: gone" and got[3].ocr == "c table_parsing"
+
+    def locate(image, task):
+        if image == "fails":
+            raise TimeoutError("late")
+        return json.dumps({"choices": [{"message": {"content": "500,500,100,100,0" if image == "p" else "nothing"}}], "usage": {}})
+
+    pages = spark.createDataFrame([(1, "p", 1000, 1400), (2, "q", 1000, 1400), (3, "fails", 1000, 1400)], "page long, image string, page_w long, page_h long")
+    blocks, made = calls.located(pages, "page", locate)
+    assert {(r.page, r.id, r.x1, r.y1, r.x2, r.y2) for r in blocks.collect()} == {(1, "p0001_q0000", 450.0, 630.0, 550.0, 770.0), (2, "p0002_fullpage", 0.0, 0.0, 1000.0, 1400.0)}
+    assert {r.page: r.error for r in made.collect()} == {1: None, 2: None, 3: "TimeoutError: late"}
+
+    class Answer:
+        json = '{"res": {"boxes": [{"coordinate": [1, 2, 3, 4], "score": 0.5, "label": "Figure"}, {"bbox": [1, 2, 3]}]}}'
+
+    def missing():
+        raise ImportError("no model")
+
+    found = calls.detected(pages, "page", [missing, lambda: lambda image: Answer()]).collect()
+    assert {(r.page, r.id, r.category, r.score) for r in found} == {(p, f"p{p:04d}_b0000", "figure", 0.5) for p in (1, 2, 3)}
+    assert provider.as_result('{"a": 1}') == provider.as_result([("a", 1)]) == {"a": 1}
+    with pytest.raises(TypeError):
+        provider.as_result(3)
+    state = units.selectExpr("id", "category", "0.123456D AS detector_score", "0.5D AS score", "'abc' AS decoded", "array('m') AS member_ids")
+    asked = calls.routed(state, ["id"], lambda s: (200, json.dumps({"answers": {"rescue": {"noul": s["detector_score"]}}})))
+    assert {r.rescue_asked for r in asked.collect()} == {False} and {r.rescue_asked for r in calls.routed(state, ["id"], None).collect()} == {None}
+    batch = spark.createDataFrame([(1, k, f"u{k}", 0, "text", "d", 0.0, 0.0, 9.0, 9.0) for k in range(2)], "batch long, ord long, id string, page long, category string, decoded string, x1 double, y1 double, x2 double, y2 double")
+    answer = lambda meta: {"choices": [{"message": {"content": json.dumps({"units": [{"id": m["id"], "text": "n", "category": "text", "status": "corrected", "issues": ["i"]} for m in json.loads(meta)]})}}], "usage": {"input_tokens": 1}}
+    records, paid = calls.reviewed(batch, ["batch"], answer)
+    assert [r.id for r in records.orderBy("ord").collect()] == ["u0", "u1"] and paid.first().usage == '{"input_tokens": 1}'
+
+
+def test_cascade_with_a_router_and_errors(spark):
+    df = spark.createDataFrame([(1, "text", "c", "", "????", None, "fine words", True, None), (2, "text", "c", "", "fine words", None, "better", True, None), (3, "text", "c", "", "????", None, "fine", False, None), (4, "text", "c", "", None, None, None, None, "OSError: x")], "id long, category string, crop_path string, hint string, ocr string, math string, rescue string, rescue_asked boolean, ocr_error string")
+    got = {r.id: r for r in decode.cascade(df).collect()}
+    assert got[1].rescued and got[2].decoded == "better" and not got[3].rescued and got[4].decoder == "error:OSError"
 
 
 def test_images():
