@@ -8,6 +8,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -17,16 +18,21 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text that a task works on at once; its arrays are some twenty times as large.
 SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one is set only where that is unset, as in tests."""
+    """The folder named in spark.checkpoint.dir; a local one is set where that is unset and all tasks run in this process, as
+    in tests. A cluster without it is an error: its machines would not see each other's files."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir has to name a folder that all machines of {master} share")
         where = "file://" + tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("spark.checkpoint.dir", where)
         spark.sparkContext.setCheckpointDir(where)
@@ -61,6 +67,11 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def whole_id(name: str = "doc_id") -> Column:
+    """A column of ids as long integers; null for what is no whole number."""
+    return F.col(quoted(name)).try_cast("long")
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Delete a table that no later step reads."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -148,7 +148,7 @@ class _Open:
             size[b + 1] = n
         self.base = np.cumsum(size)  # number of the first word of each range
         self.words = {b: (_mapped(m.folder, f, 0, "<u8", n), _mapped(m.folder, f, 1, "<i8", n)) for b, f, n in m.words}
-        self.pairs = {b: (_mapped(m.folder, f, 0, "<u8", n), _mapped(m.folder, f, 1, "<u4", n)) for b, f, n in m.pairs}
+        self.pairs = {b: (_mapped(m.folder, f[1:], 0, "<u8", n), _mapped(m.folder, f[1:], 1, "<u8" if f[0] == "w" else "<u4", n)) for b, f, n in m.pairs}
         self.contexts = {b: np.reshape(_mapped(m.folder, f, 0, "<i8", 5 * n), (n, 5)) for b, f, n in m.contexts}
 
     def _look(self, shards: dict, key: np.ndarray, ranks: bool) -> np.ndarray:
@@ -255,6 +255,8 @@ def train(docs: DataFrame, buckets: int) -> Model:
     released(spark)
     words = tuple(sorted((r.bucket, r.file, r.n) for r in found))
     tokens, vocabulary = sum(r.tokens for r in found), sum(r.n for r in found)
+    if vocabulary >= START:
+        raise ValueError(f"{vocabulary} words are more than have numbers of 32 bits")
     part = Model(folder, buckets, words, (), (), tokens, vocabulary, (0, 0, 0), (0, 0, 0), 0, 1.0)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +287,8 @@ def train(docs: DataFrame, buckets: int) -> Model:
             for i, j in zip(cut, np.append(cut, len(kinds))[1:], strict=True):
                 rows.append((int(kinds[i] // RANGE), kind, kinds[i:j].astype("<u4").tobytes(), sums[i:j].astype(width).tobytes()))
         most = [int((n == k).sum()) for k in (1, 2, 3, 4)]
-        name = _put(folder, [key.astype("<u8"), np.minimum(n, 0xFFFFFFFF).astype("<u4")])
+        wide = n.max() >= 1 << 32
+        name = ("w" if wide else "n") + _put(folder, [key.astype("<u8"), n.astype("<u8" if wide else "<u4")])
         b = table["bucket"][0].as_py()
         return pa.table({
             "part": pa.array([-1, *(r[0] for r in rows)], pa.int32()), "kind": pa.array([0, *(r[1] for r in rows)], pa.int32()), "ids": pa.array([b"", *(r[2] for r in rows)], pa.binary()), "sums": pa.array([b"", *(r[3] for r in rows)], pa.binary()),

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import SLICE_BYTES, byte_slices, filesystem, ragged, words_of
+from quire.llm.common import SLICE_BYTES, byte_slices, filesystem, ragged, whole_id, words_of
 
 MAGIC = b"QTOK0001"
 BLOCK_IDS = 4096
@@ -179,7 +179,10 @@ class WordEncoder:
             stops = np.flatnonzero(self.ends[ids]) + 1
             last = np.cumsum(parts[k * _JOINED : k * _JOINED + len(run)]) - 1
             if len(stops) != last[-1] + 1:
-                raise ValueError("the vocabulary reads these words otherwise")
+                # the vocabulary reads a word otherwise than taken for granted: each by itself
+                for (w, _), one in zip(run, self.library.encode_batch_fast([x for _, x in run], add_special_tokens=False), strict=True):
+                    self.young[w] = np.array(one.ids, "<u4").tobytes()
+                continue
             raw, at = ids.tobytes(), 0
             for (w, _), stop in zip(run, (4 * stops[last]).tolist(), strict=True):
                 self.young[w] = raw[at:stop]
@@ -245,7 +248,7 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int, shards: i
             out.close()
             yield pa.RecordBatch.from_pydict({"shard": [TaskContext.get().partitionId()], "file": [name], "n_docs": [n_docs], "n_ids": [total]})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(whole_id().alias("doc_id"), "text")
     dealt = rows.repartitionByRange(shards, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
     found = dealt.mapInArrow(run, "shard bigint, file string, n_docs bigint, n_ids bigint").collect()  # a row a file
     return [(x.file, x.n_docs, x.n_ids) for x in sorted(found)]

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import byte_slices, filled, words_of
+from quire.llm.common import byte_slices, filled, quoted, words_of
 
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -210,7 +210,7 @@ def train_on(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Tree
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("quality"), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "quality", "x"])
 
     # at most `rows` pairs of numbers are broadcast
-    found = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), "id").select(F.col("id").cast("long").alias("id"), F.col("quality").cast("long").alias("quality"), "text")
+    found = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), "id").select(F.xxhash64("id").alias("id"), F.col("quality").cast("long").alias("quality"), "text")
     got = sorted((r.id, r.quality, tuple(r.x)) for r in found.mapInArrow(run, "id bigint, quality bigint, x array<double>").collect())
     return train(np.array([r[2] for r in got]).reshape(-1, len(FEATURES)), np.array([r[1] == 1 for r in got], bool))
 
@@ -228,7 +228,7 @@ def judged(docs: DataFrame, trees: Trees | None, keep: list[str] | None = None)
             kept = ~failed & (score >= trees.threshold if trees else True)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(counts[c].astype(np.int64)) for c in COUNTS), pa.array(failed), pa.array(score), pa.array(kept)], names=[*(f"c{i}" for i in range(len(keep))), *extra])
 
-    source = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)), F.col("text").alias("__text"))
+    source = docs.select(*(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(keep)), F.col("text").alias("__text"))
     schema = ", ".join([*(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), *(f"{c} bigint" for c in COUNTS), "base_failed boolean, score double, kept boolean"])
     out = source.mapInArrow(run, schema)
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)), *extra) if keep == ["doc_id"] else out

@@ -21,7 +21,8 @@ fingerprints are put together before, so copies cost one row a group.
 
 Defined results. A null or empty text has no words and the fingerprint zero,
 linked like any other. A text with fewer words than a shingle is one shingle.
-Repeated rows and repeated ids are rows of one class. A null doc_id never is a
+Repeated rows and repeated ids are rows of one class. A doc_id that is no whole number
+is null, and a null doc_id never is a
 component's name unless all its ids are null. Very long texts are read whole. An
 empty table gives no rows. Other columns are not read.
 """
@@ -37,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import byte_slices, filled, new_folder, removed, written
+from quire.llm.common import byte_slices, filled, new_folder, removed, whole_id, written
 from quire.llm.components import components
 
 BITS = 64
@@ -83,7 +84,7 @@ def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
             texts = filled(b.column("text")).cast(pa.binary()).to_pylist()
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([fingerprint(x, k) for x in texts], pa.int64())], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select(whole_id().alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
 
 
 def correlated_parts(sample: np.ndarray, m: int) -> list[list[int]]:

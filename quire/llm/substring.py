@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import byte_slices, filled, mix64, new_folder, ragged, released, removed, words_of, written
+from quire.llm.common import byte_slices, filled, mix64, new_folder, ragged, released, removed, whole_id, words_of, written
 
 WINDOW = 50
 #: Words that a bucket holds about, and text in a slice.
@@ -287,7 +287,7 @@ def dedup_substrings(docs: DataFrame, k: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) of every row of docs (doc_id, text); kept is the UTF-8 text that is left."""
     spark = docs.sparkSession
     folder = new_folder(spark, "substring")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("doc", F.xxhash64("doc_id", "text"))
+    rows = docs.select(whole_id().alias("doc_id"), "text").withColumn("doc", F.xxhash64("doc_id", "text"))
     whole = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc", F.col("doc_id").alias("id"), "text")
     size = whole.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), size // 6 // BUCKET_WORDS)

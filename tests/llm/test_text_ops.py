@@ -241,3 +241,44 @@ def test_substrings_equal_plain(spark, rows, k):
     want = plain_substrings(all_rows, k)
     assert sorted(got, key=key) == sorted(want, key=key) and sum(r[2] for r in want) > 500
     assert substring.dedup_substrings(frame(spark, []), k).count() == 0
+
+
+def test_ids_that_are_no_numbers(spark):
+    """Defined: such an id is null; nothing fails."""
+    from quire.llm import lines, nearcopies, quality, simhash
+
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([("a", text, 1), ("7", text, 1), ("b", "x", 1), (None, None, 1)], "doc_id string, text string, `odd``name` int")
+    assert {r.doc_id for r in simhash.near_duplicates(docs).collect()} == {7, None}
+    assert sorted(str(r.doc_id) for r in substring.dedup_substrings(docs, 50).collect()) == ["7", "None", "None", "None"]
+    assert {r.doc_id for r in lines.dedup_lines(docs).collect()} == {7, None}
+    kept = nearcopies.one_of_each(docs)
+    assert kept.columns == docs.columns and kept.where("text IS NOT NULL").count() == 2
+    assert quality.train_on(docs, spark.createDataFrame([("a", 1), ("b", 0)], "doc_id string, quality int"), 10) is not None
+    assert quality.accepted(docs, None).columns == docs.columns
+    cut = lines.without(docs, lines.deletions(lines.keyed(docs), new_folder(spark, "test"), 5))
+    assert cut.columns == docs.columns and cut.count() == 4
+    folder = new_folder(spark, "test")
+    shards = packing.write_shards(docs, folder, queries.tokenizer("word_bpe_49k.json"), end_id=1, shards=2)
+    assert sorted(str(r.doc_id) for r in packing.read_shards(spark, folder, shards).collect()) == ["7", "None", "None", "None"]
+
+
+def test_words_that_are_read_otherwise_are_encoded_one_by_one(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer("word_bpe_49k.json")
+    enc, lib = packing.WordEncoder(path), Tokenizer.from_file(path)
+    enc.ends = np.zeros_like(enc.ends)  # no token ends a word: the joined form can't be told apart
+    text = "The quick brown fox, jumps! over"
+    ids, _ = enc.encode(pa.array([text]))
+    assert ids.tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from quire.llm.common import shared_dir
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(far)
