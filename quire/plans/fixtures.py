@@ -103,7 +103,7 @@ SELECT (conv_id - conv_id % 4) / 4 AS doc, conv_id AS page, turn AS ord, concat(
     WHEN 7 THEN CASE turn % 4 WHEN 0 THEN concat('| a | ', CAST(turn AS STRING), ' & |', chr(10), '|---|---|', chr(10), '| c |') WHEN 1 THEN concat('<table><tr><td>n</td><td>', CAST(turn AS STRING), ' &lt; 5</td></tr></table>') WHEN 2 THEN 'no table' ELSE concat('@bsbegin{tabular}{l}', CAST(turn AS STRING), '@bsend{tabular}') END
     ELSE CASE (2 * conv_id + turn) % 10 WHEN 0 THEN concat('# ', flat) WHEN 1 THEN concat('- a', chr(10), '* ', flat, chr(10), 'goes on') WHEN 2 THEN concat('costs $', CAST(turn AS STRING), ' and $', CAST(length(text) AS STRING), ' for ', flat) WHEN 3 THEN concat(flat, ' with $x_', CAST(turn AS STRING), '$ inside, and **bold $b$ words**')
       WHEN 4 THEN concat(CAST(3 + turn AS STRING), '. ', flat, chr(10), CAST(4 + turn AS STRING), ') two', chr(10), '- three') WHEN 5 THEN concat(flat, chr(10), chr(10), '  **bold** & 50%  of ', chr(9), ' it', chr(10), '### end {x}') WHEN 6 THEN '' WHEN 7 THEN concat('```markdown', chr(10), flat, chr(10), 'more of it', chr(10), '```')
-      WHEN 8 THEN concat('$$a_', CAST(turn AS STRING), '$$', chr(10), flat) ELSE flat END END AS content,
+      WHEN 8 THEN concat('$a_', CAST(turn AS STRING), '$', chr(10), flat) ELSE flat END END AS content,
   CASE WHEN (conv_id + turn) % 5 = 2 THEN '' ELSE concat('crops/', CAST(conv_id AS STRING), '/u', CAST(turn AS STRING), CASE WHEN turn % 2 = 0 THEN '.PNG' ELSE '.png' END) END AS crop_path,
   CASE (conv_id + turn) % 6 WHEN 0 THEN 'uncertain' WHEN 1 THEN 'not_reviewed' WHEN 2 THEN 'corrected' WHEN 3 THEN 'not_applicable' ELSE 'verified' END AS status, (conv_id + turn) % 6 = 1 AND conv_id % 3 = 0 AS mark_pdf,
   CASE WHEN (7 * conv_id + turn) % 13 = 5 THEN 'leader' WHEN turn % 2 = 0 THEN '' END AS merged_into,
