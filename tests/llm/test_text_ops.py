@@ -134,6 +134,7 @@ def test_rollup_with_two_writers_of_a_batch(spark, monkeypatch):
     monkeypatch.setattr(r, "_publish", late)
     assert r.commit("same", events_of(spark, 7)) and len(r._names("committed")) == 2
     assert total(r) == [(1, 7)] == total(other)
+    monkeypatch.undo()
     r.compact()
     assert total(r) == [(1, 7)] and not r._names("committed") and not other.commit("same", events_of(spark, 7))
 
