@@ -19,8 +19,8 @@ ones go on only where no alignment has deleted their lines.
 Defined results. A null or empty text has no line with a word, and loses none. Lines
 without a word are no reason for a pair and are deleted only inside a block. Rows
 with the same doc_id don't take from each other; of such rows the one with the
-smallest hash of its text stands for the id. A row with a null doc_id loses nothing
-and takes from nobody. Very long texts are read whole. An empty table gives no rows.
+smallest hash of its text stands for the id. A row with a null doc_id, or one that is no
+whole number, loses nothing and takes from nobody. Very long texts are read whole. An empty table gives no rows.
 Other columns are not read.
 """
 
@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import byte_slices, filled, looked_up, new_folder, quoted, removed, shuffled, written
+from quire.llm.common import byte_slices, filled, looked_up, new_folder, quoted, removed, shuffled, whole_id, written
 
 MIN_WORDS = 5
 #: Partners that go with a document into one row; one with more of them has several rows.
@@ -271,7 +271,9 @@ def deletions(rows: DataFrame, folder: str, min_words: int) -> DataFrame:
         lost = gone.groupBy("key").agg(F.collect_list("gone").alias("gone"))
         tried = work.join(shuffled(pairs.select("key").distinct()), "key", "left_semi").join(shuffled(lost), "key", "left")
         left = kept(_left(tried, min_words), f"left{k + 1}")
-        open_ = open_.join(shuffled(left.select("w").distinct()), "w", "left_semi").join(shuffled(holders), ["w", "rep"], "left_anti")
+        # the runs as a table, and their join last, so that Spark can split a run that many classes hold
+        runs_left = kept(left.select("w").distinct(), f"runs{k + 1}")
+        open_ = open_.join(shuffled(holders), ["w", "rep"], "left_anti").join(shuffled(runs_left), "w", "left_semi")
         open_ = kept(open_, f"open{k + 1}")
     out = written(_union(gone), folder, "gone")
     for name in made:
@@ -280,7 +282,7 @@ def deletions(rows: DataFrame, folder: str, min_words: int) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.xxhash64("doc_id", "text"))
+    return docs.select(whole_id().alias("doc_id"), "text").withColumn("key", F.xxhash64("doc_id", "text"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -309,7 +311,7 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs, with all their columns, less the lines gone (key, gone) of deletions(): n_chars, if there is one, is counted
     again for changed texts. Rows go that had a word and have none left."""
     others = [c for c in docs.columns if c != "text"]
-    row = docs.select(F.struct(*(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(others))).alias("q_row"), F.col("text").alias("q_text"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("q_key"))
+    row = docs.select(F.struct(*(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(others))).alias("q_row"), F.col("text").alias("q_text"), F.xxhash64(whole_id(), "text").alias("q_key"))
     marked = row.join(looked_up(gone.select(F.col("key").alias("q_key"), F.col("gone").alias("q_gone"))), "q_key", "left").select("q_text", "q_gone", "q_row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
