@@ -211,7 +211,7 @@ def test_leaks_of_short_items_and_items_rich_in_slots(spark):
         (1, SLOTS), (2, "Well. " + AGAIN + " and so on"), (3, "see 12 13 14 15 16 17 18 19 20 21 end"), (4, "22 23 24 25 26 27 28 29 30 31"), (5, "short one"), (6, "Solve 2x + 3 = 11 for x"),
         (7, "x " + SLOTS.upper()), (8, AGAIN.replace("Lima", "Smith")), (9, "So who wrote the old book then"), (10, "who wrote the new book"), (11, SLOTS.replace("and 5 cents", "")),
     ]
-    want = {(1, 1), (2, 1), (3, 5), (6, 2), (7, 1), (8, 1), (9, 6), (11, 1)}
+    want = {(1, 1), (2, 1), (3, 5), (6, 2), (7, 1), (9, 6), (11, 1)}  # 8 gives two names of the item one name
     for anchors in (20_000, 0):
         found = decontaminate.leaks(frame(spark, rows), spark.createDataFrame(bench, "item_id long, text string"), anchors)
         assert {(r.doc_id, r.item_id) for r in found.collect()} == want
@@ -219,24 +219,23 @@ def test_leaks_of_short_items_and_items_rich_in_slots(spark):
 
 def test_reparameterised_items_are_found(spark):
     """Of items made up at random, asked again with other values; anchors change nothing."""
-    rnd = random.Random(12)
-    names, units = [f"N{chr(97 + k)}m{chr(97 + k % 7)}" for k in range(26)], ["km", "kg", "days", "dollars"]
+    rnd, n, units = random.Random(12), iter(range(1, 10**6)), ["km", "kg", "days", "dollars"]
     common = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(200)]
-    shapes = [[rnd.choice("wwwwwwnnNu") for _ in range(rnd.randrange(9, 40))] for _ in range(150)]
-
-    def said(shape, words):
-        fill = {"n": lambda: str(rnd.randrange(10**6)), "N": lambda: rnd.choice(names), "u": lambda: rnd.choice(units)}
-        return " ".join(w if c == "w" else fill[c]() for c, w in zip(shape, words, strict=True))
-
+    name = lambda: "N" + "".join(chr(97 + int(d)) for d in str(next(n)))
     rows, bench = [], []
-    for i, shape in enumerate(shapes):
-        words = [rnd.choice(common) for _ in shape]
-        bench.append((i, said(shape, words)))
-        rows.append((i, "before it some words stand, and then " + said(shape, words) + " and some behind it"))
+    for i in range(150):
+        item, again = [], []
+        for kind in (rnd.choice("wwwwwwnnNu") for _ in range(rnd.randrange(9, 40))):
+            word, k = rnd.choice(common), rnd.randrange(4)
+            a, b = {"w": (word, word), "n": (str(next(n)), str(next(n))), "N": (name(), name()), "u": (units[k], units[k - 1])}[kind]
+            item.append(a)
+            again.append(b)
+        bench.append((i, " ".join(item)))
+        rows.append((i, "before it some words stand, and then " + " ".join(again) + " and some behind it"))
     rows += [(1000 + i, " ".join(rnd.choice(common) for _ in range(60))) for i in range(100)]
     both = [{(r.doc_id, r.item_id, r.covered) for r in decontaminate.leaks(frame(spark, rows), spark.createDataFrame(bench, "item_id long, text string"), a).collect()} for a in (20_000, 0)]
     hit = {i for i, j, _ in both[0] if i == j}
-    assert both[0] == both[1] and len(hit) >= 0.9 * len(shapes) and not any(i >= 1000 for i, _, _ in both[0])
+    assert both[0] == both[1] and len(hit) >= 0.9 * len(bench) and not any(i >= 1000 for i, _, _ in both[0])
 
 
 def test_pairs_at_the_bound_become_candidates():
