@@ -198,6 +198,14 @@ def test_paragraphs(spark):
     assert got == {**{k: c[2] for k, c in enumerate(cases)}, 99: True}
 
 
+def test_a_mean_at_the_threshold_needs_no_rescue(spark):
+    """Added in this order the scores come to less than six times the threshold, in most others they don't."""
+    tied, low = [(1, d / 100 * 12) for d in (3, 8, 3, 6, 6, 3)], [(2, d / 100 * 12) for d in (3, 8, 3, 6, 6, 2)]
+    blocks = spark.createDataFrame(tied + low, "page long, score double").coalesce(1)
+    pages = spark.createDataFrame([(1,), (2,), (3,)], "page long")
+    assert {r.page for r in layout.needs_layout_rescue(layout.page_quality(blocks, pages, ["page"])).collect()} == {2, 3}
+
+
 def test_costs(spark):
     rows = [(1, "qwen_ocr", '{"input_tokens": 100, "output_tokens": 50}'), (1, "qwen_rescue", '{"prompt_tokens": 10, "completion_tokens": 5}'), (1, "other", '{"input_tokens": 9}'), (2, "qwen_ocr", '{"input_tokens": null, "prompt_tokens": 7}')]
     df = spark.createDataFrame(rows, "doc long, provider string, usage string")
