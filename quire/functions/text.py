@@ -171,23 +171,28 @@ def pipe_rows(s: Column) -> Column:
     return F.filter(rows, lambda r: ~F.forall(r, lambda c: c.rlike(r"^[-: ]*$")))
 
 
-def unescape_html(s: Column) -> Column:
-    """The five named references of markup, the hard space, and numeric ones up to U+FFFF; the ampersand last."""
+def unescape_html(s: Column, only: tuple[str, ...] | None = None) -> Column:
+    """The five named references of markup, the hard space, and numeric ones up to U+FFFF; the ampersand last.
+
+    only: the names that count, without numeric ones.
+    """
     code = lambda p: F.coalesce(F.conv(F.regexp_extract(p, r"^[xX]([0-9A-Fa-f]{1,4});", 1), 16, 10).try_cast("int"), F.regexp_extract(p, r"^(\d{1,5});", 1).try_cast("int"))
     char = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 4, "0")), "UTF-16BE")
     piece = lambda p, i: F.when((i > 0) & code(p).between(1, 0xD7FF), F.concat(char(code(p)), F.regexp_replace(p, r"^[^;]*;", ""))).when(i > 0, F.concat(F.lit("&#"), p)).otherwise(p)
-    s = F.when(F.contains(s, F.lit("&#")), F.array_join(F.transform(F.split(s, "&#", -1), piece), "")).otherwise(s)
+    if only is None:
+        s = F.when(F.contains(s, F.lit("&#")), F.array_join(F.transform(F.split(s, "&#", -1), piece), "")).otherwise(s)
     for name, char_ in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\xa0"), ("&amp;", "&")):
-        s = F.replace(s, F.lit(name), F.lit(char_))
+        if only is None or name[1:-1] in only:
+            s = F.replace(s, F.lit(name), F.lit(char_))
     return s
 
 
-def tabular(rows: Column) -> Column:
-    """A ruled tabular, short rows padded; empty for no rows."""
+def tabular(rows: Column, only: tuple[str, ...] | None = None) -> Column:
+    """A ruled tabular, short rows padded; empty for no rows. only: as in unescape_html()."""
 
     def filled(rows: Column, n: Column) -> Column:
         cells = lambda r: F.concat(r, F.array_repeat(F.lit(""), F.greatest(F.lit(0), n - F.size(r))))
-        row = lambda r: F.array_join(F.transform(cells(r), lambda c: escape_tex(unescape_html(c))), " & ")
+        row = lambda r: F.array_join(F.transform(cells(r), lambda c: escape_tex(unescape_html(c, only))), " & ")
         body = F.array_join(F.transform(rows, row), " \\\\ \\hline\n")
         return F.concat(F.lit("\\begin{tabular}{|"), F.repeat(F.lit("l|"), n), F.lit("}\n\\hline\n"), body, F.lit(" \\\\ \\hline\n\\end{tabular}"))
 

@@ -300,6 +300,14 @@ def test_tables(spark):
     assert on(spark, latex.table_tex, "no table") == "" and on(spark, latex.table_tex, "```latex\n\\begin{tabular}{l}a\\end{tabular}\n```") == "\\begin{tabular}{l}a\\end{tabular}"
 
 
+def test_references_that_a_table_reads(spark):
+    cell = "| &quot;a&#33;&lt;&amp;&gt; | b |"
+    assert "\n\"a!<\\&> & b " in on(spark, latex.table_tex, cell)
+    some = on(spark, lambda c: latex.table_tex(c, only=("lt", "amp")), cell)
+    assert "\n\\&quot;a\\&\\#33;<\\&\\&gt; & b " in some
+    assert on(spark, lambda c: latex.html_rows(c, only=("lt", "amp")), "<tr><td>&quot;&lt;&amp;</td></tr>") == [["&quot;<&"]]
+
+
 def test_documents(spark):
     box = lambda k: (60.0, 60.0 + 40 * k, 900.0, 90.0 + 40 * k)
     units = [
