@@ -215,5 +215,12 @@ def review_note(note: str = REVIEW_NOTE) -> Column:
 
 
 def figure_fraction(w: Column, page_w: Column) -> Column:
-    # a tie goes to the even digit, as in printf
-    return F.format_string("%.3f", F.bround(F.greatest(F.lit(0.25), F.least(F.lit(1.0), w / F.greatest(F.lit(1.0), page_w))), 3))
+    # rounded by its binary value as in printf, a tie to the even digit: the fraction is a whole number of 2**-54
+    x = F.greatest(F.lit(0.25), F.least(F.lit(1.0), w / F.greatest(F.lit(1.0), page_w)))
+
+    def text(n: Column) -> Column:
+        k, rest = F.shiftright(n, 51), n.bitwiseAND(F.lit(2**51 - 1))
+        k = k + F.when((rest > 2**50) | ((rest == 2**50) & (k % 2 == 1)), 1).otherwise(0)
+        return F.format_string("%d.%03d", F.floor(k / 1000), k % 1000)
+
+    return once((x * 2.0**54).cast("long") * 125, text)

@@ -308,6 +308,14 @@ def test_references_that_a_table_reads(spark):
     assert on(spark, lambda c: latex.html_rows(c, only=("lt", "amp")), "<tr><td>&quot;&lt;&amp;</td></tr>") == [["&quot;<&"]]
 
 
+def test_figure_width_is_rounded_as_printf_does(spark):
+    """0.2625 is a little above a tie in binary, 0.2635 below one; 0.3125 and 0.4375 are ties."""
+    values = [105 / 400, 0.2635, 0.3125, 0.4375, 0.9995, 0.99949999, 0.25, 0.1, 1.0, 7.0, *(k / 2000 for k in range(500, 2001, 7))]
+    df = spark.createDataFrame([(v,) for v in values], "w double")
+    got = [r.f for r in df.select(X.figure_fraction(F.col("w"), F.lit(1.0)).alias("f")).collect()]
+    assert got == [f"{max(0.25, min(1.0, v)):.3f}" for v in values]
+
+
 def test_documents(spark):
     box = lambda k: (60.0, 60.0 + 40 * k, 900.0, 90.0 + 40 * k)
     units = [
