@@ -1,6 +1,7 @@
 """Expected values of the layout, review, compose and report operators."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -451,6 +452,25 @@ def test_images():
     assert images.figures(many) == ([], True)
 
 
+def test_units_of_many_pages_in_one_batch(spark):
+    """Pages beside each other don't touch, and a thousand of them took over two seconds."""
+    rnd, pages = random.Random(7), []
+    for _ in range(5):
+        blocks = [(f"b{k}", rnd.choice(("text", "text", "math", "figure")), "b", rnd.random(), x := float(rnd.choice((60, 540))), y := 40.0 + 40 * k + rnd.randrange(7), x + 300.0 + rnd.randrange(90), y + 24.0 + rnd.randrange(12)) for k in range(6)]
+        pages.append([*blocks, ("c", *blocks[0][1:])])
+    names = ["id", "category", "source_label", "score", "x1", "y1", "x2", "y2"]
+
+    def units(pages):
+        ends, cols = np.cumsum([0, *map(len, pages)]), dict(zip(names, map(list, zip(*sum(pages, []), strict=True)), strict=True))
+        return [(n + k, *u) for n, p in layout._in_parts(ends, cols) for k, *u in layout._units(p, [0] * int(ends[-1]), W, H)]
+
+    alone = [units([p]) for p in pages]
+    assert any(len(u[7]) > 1 for a in alone for u in a) and all("c" not in u[7] for a in alone for u in a)
+    began = time.perf_counter()
+    assert units(pages * 200) == [(k, *u[1:]) for k in range(1000) for u in alone[k % 5]]
+    assert time.perf_counter() - began < 1.5
+
+
 def test_convexity_and_rotation(spark):
     df = spark.createDataFrame([([0.0, 0.0, 9.0, 0.0, 9.0, 9.0, 0.0, 9.0],), ([0.0, 0.0, 0.0, 9.0, 9.0, 9.0, 9.0, 0.0],), ([0.0, 0.0, float("nan"), 0.0, 9.0, 9.0, 0.0, 9.0],), ([1.0],)], "q array<double>")
     assert [r[0] for r in df.select(G.quad_valid(F.col("q"), 100, 100)).collect()] == [True, False, False, False]
