@@ -452,6 +452,72 @@ def test_images():
     assert images.figures(many) == ([], True)
 
 
+def plain_parts(mask):
+    """Extents of the 8-connected parts, pixel by pixel."""
+    todo, out = {(int(y), int(x)) for y, x in zip(*np.nonzero(mask), strict=True)}, []
+    while todo:
+        part = stack = [todo.pop()]
+        for y, x in stack:
+            near = {(y + dy, x + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)} & todo
+            todo -= near
+            stack += near
+        ys, xs = zip(*part, strict=True)
+        out.append((min(xs), min(ys), max(xs) + 1, max(ys) + 1))
+    return sorted(out)
+
+
+def pages_of_frames(n):
+    for k in range(n):
+        page = np.full((280, 200, 3), 250, np.uint8)
+        for x, y in ((12, 10 + k % 5), (108, 20), (12, 60), (14, 120 + k % 7), (108, 150)):
+            page[y : y + 8 + 4 * (k % 3), x : x + 60 + k % 28] = 30
+            page[y + 1 : y + 7, x + 1 : x + 59] = 250
+        yield page
+
+
+def test_image_kernels_equal_plain():
+    rng = np.random.default_rng(5)
+    for k in range(60):
+        mask = rng.random(rng.integers(1, 30, 2)) < (0.1, 0.4, 0.7, 1.0)[k % 4]
+        assert sorted(images.components(mask)) == plain_parts(mask)
+        page = rng.integers(0, 256, (40, 50, 3)).astype(np.uint8) if k % 2 else np.repeat(rng.integers(100, 256, (40, 50, 1)), 3, axis=2).astype(np.uint8)
+        r, g, b = page.reshape(-1, 3).astype(np.int64).T
+        assert (images.luminance(page).ravel() == (r * 19595 + g * 38470 + b * 7471 + 0x8000) >> 16).all()
+        light = page.reshape(-1, 3)[(page.min(axis=2) >= 180).ravel() & (np.ptp(page, axis=2) <= 20).ravel()]
+        assert not len(light) or images.background(page) == tuple(int(np.median(c)) for c in light.T)
+        x, y, w, h = (int(v) for v in rng.integers(2, 30, 4))
+        ys, xs = np.mgrid[:40, :50]
+        far = np.maximum(np.maximum(x - xs, xs - x - w), 0) ** 2 + np.maximum(np.maximum(y - ys, ys - y - h), 0) ** 2
+        quad = [x, y, x + w, y, x + w, y + h, x, y + h]
+        for grow in (0, 3, 4):
+            upright, turned = np.zeros((2, 40, 50), bool)
+            images.fill_quad(upright, quad, grow)
+            images.fill_quad(turned, quad[2:] + quad[:2], grow)  # not upright to the code
+            assert (upright == (far <= grow**2)).all() and (turned == upright).all()
+        left = images.residual(page, [{"category": "figure", "quad": quad}], everything=True)
+        assert (left == np.where((far <= 9)[..., None], images.background(page), page)).all()
+        cut = images.union_crop(page, [quad, quad], 0)
+        assert (cut == page[y : min(40, y + h), x : min(50, x + w)]).all()
+    assert (images.residual(page, [{"category": "text", "box": (5, -90, 20, -60)}]) == page).all()
+
+
+def test_image_kernels_take_little_time():
+    """A hundred pages took over two seconds."""
+    quad = [12.0, 10.0, 80.0, 10.0, 80.0, 24.0, 12.0, 24.0]
+
+    def took():
+        began = time.perf_counter()
+        for page in pages_of_frames(100):
+            assert len(images.components(images.ink_mask(page))) >= 5
+            images.figures(page)
+            assert images.background(page) == (250, 250, 250)
+            assert images.residual(page, [{"category": "text", "quad": quad}] * 4)[12, 12, 0] == 250
+            assert images.union_crop(page, [quad] * 4, 4).shape == (22, 76, 3)
+        return time.perf_counter() - began
+
+    assert min(took() for _ in range(3)) < 1.0
+
+
 def test_units_of_many_pages_in_one_batch(spark):
     """Pages beside each other don't touch, and a thousand of them took over two seconds."""
     rnd, pages = random.Random(7), []
