@@ -320,3 +320,27 @@ def test_groups_equal_all_pairs(spark, bucket):
     missed = {i for i in links if found[i] != want[i]}
     assert len(links) > 150 and len(missed) <= 0.02 * len(links)
     assert all(found[i] == i for i, root in want.items() if root == i)  # nothing that has no link goes
+
+
+def test_documents_of_common_shingles_alone(spark, tmp_path):
+    """Documents of the same passages in another order: all that two share is common, and few are alike to the centre."""
+    rnd = random.Random(3)
+    passages = [[f"w{k}_{i}" for i in range(40)] for k in range(24)]
+    texts = []
+    for _ in range(24):
+        chosen = rnd.sample(range(24), 10)
+        for _ in range(2):
+            texts.append(" ".join(w for k in chosen for w in passages[k]))
+            rnd.shuffle(chosen)
+    sets = nearcopies._sets(spark.createDataFrame(list(enumerate(texts)), "key long, text string"), 5)
+    crowd = spark.createDataFrame([(1, k) for k in range(len(texts))], "v long, key long")
+    per = nearcopies.firsts(sets, str(tmp_path), 0.8, 8)
+    edges = nearcopies.verified(nearcopies.rare_pairs(per, crowd, 8), sets, 0.8)
+    roots = nearcopies.components(edges, str(tmp_path / "c"))
+    late = nearcopies.verified(nearcopies.common_pairs(per, roots, 0.8, 8), sets, 0.8)
+    words = [t.split() for t in texts]
+    own = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in words]
+    alike = {(a, b) for b in range(len(own)) for a in range(b) if len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b])}
+    star = {(r.a, r.b) for r in edges.collect()}
+    assert len(alike) >= 24 and len(alike - star) > 8  # the centres alone lose these
+    assert star | {(r.a, r.b) for r in late.collect()} == alike
